@@ -243,11 +243,11 @@ def hydrated(hits: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame
 
 def sample_statement(hits: DataFrame, corpus: DataFrame, query: str = "query_id") -> DataFrame:
     """query, category, got, total, place: "got of total calls in category", most hits first."""
+    totals = corpus.groupBy(F.col("category").alias("_of")).agg(F.count("*").alias("total"))
     got = hits.groupBy(query, "category").agg(F.count("*").alias("got"))
-    totals = corpus.groupBy("category").agg(F.count("*").alias("total"))
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("got"), F.col("category").cast("string")))
-    return got.join(totals, got["category"].eqNullSafe(totals["category"]), "left").select(
-        query, got["category"], "got", F.when(got["category"].isNotNull(), F.col("total")).alias("total"), place.alias("place"))
+    return got.join(totals, F.col("category") == F.col("_of"), "left").select(
+        query, "category", "got", "total", place.alias("place"))
 
 
 def quote_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
