@@ -14,8 +14,9 @@ from metricway.operators.search import _unit, nearest, query_blocks
 
 # Exact search below this many rows; training rows per cell; recall slack.
 MIN_ROWS = 100_000
-TRAIN_PER_CELL = 256
+TRAIN_PER_CELL = 64
 DEFAULT_PROBES = 20
+ROW_GROUP = 8 << 20  # bytes
 RECALL_SLACK = 1e-5
 
 
@@ -27,7 +28,7 @@ class CellIndex:
 
     @classmethod
     def build(cls, corpus: DataFrame, doc: str = "doc_id", vector: str = "vector", cells: int | None = None,
-              seed: int = 42, iterations: int = 10) -> "CellIndex":
+              seed: int = 42, iterations: int = 8) -> "CellIndex":
         """sqrt(n) cells. Only the training reads a sample; every row is assigned and searched."""
         n = corpus.count()
         cells = cells or max(1, round(math.sqrt(n)))
@@ -41,9 +42,11 @@ class CellIndex:
         return cls(rows, np.array(model.clusterCenters()), doc, vector)
 
     def write(self, folder: str) -> "CellIndex":
-        """Store the rows by cell (a crowded cell in several files): a probe reads only its folders."""
-        spread = F.pmod(F.xxhash64(self.doc), F.lit(16))
-        self.rows.repartition("cell", spread).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
+        """Store the rows sorted by cell: the row groups' ranges let a probe skip the others. Ranges
+        are cut by (cell, hash), so a crowded cell is written by several tasks."""
+        at = F.xxhash64(self.doc)
+        self.rows.repartitionByRange("cell", at).sortWithinPartitions("cell").write.mode("overwrite").option(
+            "parquet.block.size", str(ROW_GROUP)).parquet(f"{folder}/rows")
         spark = self.rows.sparkSession
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centres)], "cell int, centre array<double>"
                               ).write.mode("overwrite").parquet(f"{folder}/centres")

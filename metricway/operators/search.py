@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from metricway.functions.text import squeeze
 from metricway.functions.where import filtered
 from metricway.operators.evidence import MAX_QUOTE, MIN_QUOTE
+from metricway.session import sized, spread
 
 # Fusion constant, BM25 parameters, default blend, token pattern.
 RRF_K = 60
 K1, B = 1.2, 0.75
 ALPHA = 0.5
-NOT_A_TOKEN = "[^a-z0-9]+"
+TOKEN, NOT_A_TOKEN = "[a-z0-9]+", "[^a-z0-9]+"
 QUERY_BLOCK = 2048  # queries sent to the tasks at a time: bounds what is broadcast
 SCORE_DIGITS = 9  # scores equal to this many digits are ties, settled by id
 
@@ -139,60 +140,84 @@ def tokens(text: Column) -> Column:
 
 
 class TextIndex:
-    """Postings (term, doc, tf, length) and document lengths, lazy or read from a folder."""
+    """Word counts of documents, made on the fly or read from a folder.
 
-    def __init__(self, postings: DataFrame | None, lengths: DataFrame, docs: DataFrame | None = None,
-                 doc: str = "doc_id", text: str = "text"):
-        self._postings, self.lengths, self.docs, self.doc, self.text = postings, lengths, docs, doc, text
+    Counts are rows (term, doc, length, tf); the row with an empty term stands for the document
+    itself, so one pass over the texts gives the postings and the lengths.
+    """
+
+    def __init__(self, doc: str = "doc_id"):
+        self.doc = doc
+        self._docs: DataFrame | None = None
+        self._stored: DataFrame | None = None
+        self._lengths: DataFrame | None = None
+        self._buckets = 0
 
     @classmethod
     def over(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> "TextIndex":
-        lengths = docs.select(doc, F.size(tokens(F.col(text))).alias("length"))
-        return cls(None, lengths, docs, doc, text)
-
-    def _tokens(self) -> DataFrame:
-        return self.docs.select(self.doc, tokens(F.col(self.text)).alias("t")).select(
-            self.doc, F.size("t").alias("length"), F.explode("t").alias("term"))
+        index = cls(doc)
+        index._docs = docs.select(doc, F.col(text).alias("text"))
+        return index
 
-    def _counted(self, rows: DataFrame) -> DataFrame:
-        """Counts inside each task first: a word said a thousand times in a text is one row."""
+    def _counts(self, terms: DataFrame | None = None) -> DataFrame:
+        """Counted inside each task first: a word said a thousand times in a text is one row."""
+        said = spread(self._docs).select(self.doc, tokens(F.col("text")).alias("t"))
+        # The outer form keeps the optimizer from splitting every text twice to test for emptiness.
+        rows = said.select(self.doc, F.size("t").alias("length"), F.explode_outer(
+            F.concat(F.array(F.lit("")), "t")).alias("term"))
+        if terms is not None:
+            rows = rows.join(sized(terms.unionByName(terms.select(F.lit("").alias("term")).limit(1))), "term")
         return rows.groupBy("term", self.doc, "length").agg(F.count("*").alias("tf"))
 
-    def postings_of(self, terms: DataFrame) -> DataFrame:
-        """The postings of the given distinct terms only."""
-        if self._postings is not None:
-            return self._postings.join(terms.select("term", F.pmod(F.xxhash64("term"), F.lit(
-                self.buckets)).cast("int").alias("bucket")), ["bucket", "term"]).drop("bucket")
-        return self._counted(self._tokens().join(terms, "term"))
+    def counts_of(self, terms: DataFrame) -> DataFrame:
+        """The counts of the given distinct terms, and every document's own row."""
+        if self._stored is None:
+            return self._counts(terms)
+        wanted = terms.withColumn("bucket", _term_bucket(self._buckets))
+        own = self._lengths.select(F.lit("").alias("term"), self.doc, "length", F.lit(1).cast("long").alias("tf"))
+        return self._stored.join(wanted, ["bucket", "term"]).select("term", self.doc, "length", "tf").unionByName(own)
 
     def write(self, folder: str, buckets: int = 64) -> "TextIndex":
-        """Store the postings by term bucket, so a search reads only its own terms' folders."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        (self._counted(self._tokens()).withColumn("bucket", bucket)
-         .repartition("bucket", F.pmod(F.xxhash64(self.doc), F.lit(8)))  # a hot term is cut in eight
-         .sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings"))
-        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
-        return TextIndex.read(self.docs.sparkSession, folder, buckets, self.doc)
+        """Store the counts by term bucket, so a search reads only its own terms' folders."""
+        counts = self._counts().withColumn("bucket", _term_bucket(buckets))
+        part = F.pmod(F.xxhash64(self.doc), F.lit(8))  # a hot term is cut in eight
+        counts.filter("term <> ''").repartition("bucket", part).sortWithinPartitions("term").write.mode(
+            "overwrite").partitionBy("bucket").parquet(f"{folder}/counts")
+        lengths = self._docs.select(self.doc, F.regexp_count(F.lower("text"), F.lit(TOKEN)).alias("length"))
+        lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+        return TextIndex.read(self._docs.sparkSession, folder, buckets, self.doc)
 
     @classmethod
     def read(cls, spark, folder: str, buckets: int = 64, doc: str = "doc_id") -> "TextIndex":
-        index = cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), None, doc)
-        index.buckets = buckets
+        index = cls(doc)
+        index._stored = spark.read.parquet(f"{folder}/counts")
+        index._lengths = spark.read.parquet(f"{folder}/lengths")
+        index._buckets = buckets
         return index
 
 
+def _term_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
 def bm25(index: TextIndex, queries: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
-    """query, doc, bm25 for every document that shares a term with the query."""
+    """query, doc, bm25 for every document that shares a term with the query.
+
+    Counts are brought together by document before they are scored, so the pairs of queries and
+    documents are summed where they are made and never shuffled.
+    """
     wanted = queries.select(query, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    postings = index.postings_of(wanted.select("term").distinct())
-    totals = index.lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    counts = index.counts_of(wanted.select("term").distinct())
+    here = F.col("tf") > 0  # always true; keeps the plan of each use alike, so the counts are made once
+    own = F.col("term") == ""
+    totals = counts.agg(F.count_if(own & here).alias("docs"), F.avg(F.when(own, F.col("length"))).alias("mean"))
     docs, mean = totals.select("docs").scalar(), totals.select("mean").scalar()
-    holders = postings.groupBy("term").agg(F.count("*").alias("df"))
+    holders = counts.groupBy("term").agg(F.count_if(here).alias("df"))
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(holders, "term").select(query, "term", idf.alias("idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    return postings.join(weights, "term").groupBy(query, index.doc).agg(F.sum(part).alias("bm25"))
+    return counts.repartition(index.doc).join(sized(weights), "term").groupBy(query, index.doc).agg(F.sum(part).alias("bm25"))
 
 
 def text_search(index: TextIndex, queries: DataFrame, k: int, query: str = "query_id", text: str = "query",
@@ -279,7 +304,7 @@ def quote_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     anchored = ready.withColumn("size", F.size(words)).withColumn("key", F.when(
         F.col("size") >= 5, F.xxhash64(F.array_join(F.slice(inner, 1, 3), " "))).otherwise(F.xxhash64(longest)))
-    body = docs.select("doc_id", squeeze(F.col("text")).alias("t"))
+    body = spread(docs.select("doc_id", "text")).select("doc_id", squeeze(F.col("text")).alias("t"))
     w = F.split("t", " ")
     threes = F.transform(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c")),
                          lambda s: F.xxhash64(F.concat_ws(" ", s["a"], s["b"], s["c"])))

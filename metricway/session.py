@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BROADCAST_ROWS = 500_000
 
 
 def local_session(cpus: str | int = "*", app: str = "metricway", **conf: str) -> SparkSession:
@@ -41,6 +43,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores when their scan has fewer partitions than there are cores.
+
+    A small file is read by a task or two, however heavy the work on its texts. A large table
+    comes in more partitions than cores and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A side to broadcast if it is counted to be small; else as it is, for a shuffled join.
+
+    For narrow rows only, and where counting is cheap beside the join.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: survives the loss of executors."""
     spark = df.sparkSession

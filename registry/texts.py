@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from metricway.functions import phrases as P
 from metricway.functions import text as T
 from metricway.operators import change as C
+from metricway.session import spread
 from registry.base import check, plain, tables
 from registry.changes import LOG_SQL, calls_of, log_of
 
 
 def masked(spark, sf):
     """Every document with its account numbers masked, as a hash of the whole text."""
-    d = tables(spark, sf)["documents"]
+    d = spread(tables(spark, sf)["documents"].select("doc_id", "text"))
     shown = T.mask_accounts(F.col("text"))
     return d.select("doc_id", F.sha2(shown, 256).alias("hash"), (shown != F.col("text")).alias("changed"))
 
