@@ -77,7 +77,7 @@ def tally(assigned: DataFrame, windows_read: DataFrame) -> DataFrame:
         F.slice(F.array_sort(quotes), 1, MAX_CITATIONS).alias("citations"))
     scale = {w: windows_read.filter(F.col("window") == w).select(
         (F.col("population") / F.col("read")).alias("s")).scalar() for w in ("before", "after")}
-    before_n, after_n = F.size("before_ids"), F.size("after_ids")
+    before_n, after_n = F.size("before_ids").cast("long"), F.size("after_ids").cast("long")
     before = before_n * F.coalesce(scale["before"], F.lit(0.0))
     after = after_n * F.coalesce(scale["after"], F.lit(0.0))
     return per_item.filter(after_n > 0).select(

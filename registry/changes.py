@@ -354,9 +354,9 @@ def resolved_sql():
               FROM ({inner}) AS det) AS rows_in"""
 
 
-_CITED = """cited AS (SELECT year(day) AS answer, CASE WHEN seconds % 5 = 0 THEN call_id || 'X' ELSE call_id END AS call_id
+_CITED = """cited AS (SELECT CAST(year(day) AS INT) AS answer, CASE WHEN seconds % 5 = 0 THEN call_id || 'X' ELSE call_id END AS call_id
         FROM call_log WHERE seconds >= 440),
-    wins AS (SELECT year(day) AS answer, min(day) AS b, max(day) - 30 AS e FROM call_log GROUP BY 1),
+    wins AS (SELECT CAST(year(day) AS INT) AS answer, min(day) AS b, max(day) - 30 AS e FROM call_log GROUP BY 1),
     checked AS (SELECT c.answer, c.call_id, l.day IS NOT NULL AS "exists", coalesce(l.day >= b AND l.day < e, false) AS inside
         FROM cited c LEFT JOIN call_log l USING (call_id) LEFT JOIN wins w ON w.answer = c.answer)"""
 
@@ -427,8 +427,8 @@ QUERIES = {
             CASE WHEN after_scaled > before_scaled THEN 'up' WHEN after_scaled < before_scaled THEN 'down' ELSE 'flat' END
             AS direction, before_ids, after_ids, citations FROM counted""")),
     "change_unassigned": (unassigned_rows, check(f"""WITH {_TALLY}
-        SELECT win AS window, n - (SELECT coalesce(sum(CASE WHEN win = 'before' THEN before_n ELSE after_n END), 0)
-            FROM counted) AS unassigned FROM reads""")),
+        SELECT win AS window, CAST(n - (SELECT coalesce(sum(CASE WHEN win = 'before' THEN before_n ELSE after_n END), 0)
+            FROM counted) AS BIGINT) AS unassigned FROM reads""")),
     "change_verbatim_quotes": (quotes, """
         SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM (
             SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark) b
@@ -448,7 +448,7 @@ QUERIES = {
     "change_grounded_answers": (grounded, check(f"""WITH {_CITED}
         SELECT y.answer, coalesce(cited, 0) AS cited, coalesce(real, 0) AS real,
             y.answer % 2 = 1 AND coalesce(cited, 0) = coalesce(real, 0) AND coalesce(real, 0) > 0 AS grounded
-        FROM (SELECT DISTINCT year(day) AS answer FROM call_log) y LEFT JOIN (
+        FROM (SELECT DISTINCT CAST(year(day) AS INT) AS answer FROM call_log) y LEFT JOIN (
             SELECT answer, count(*) AS cited, count(*) FILTER (inside) AS real FROM checked GROUP BY 1) c USING (answer)""")),
     "change_recomputed": (recomputed, check("""
         SELECT category, count(DISTINCT date_trunc('week', day)) AS weeks, count(DISTINCT date_trunc('week', day)) AS same

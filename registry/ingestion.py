@@ -254,7 +254,7 @@ def hashes(spark, sf):
 
 
 QUERIES = {
-    "ingest_json_lines": (json_lines, check("""SELECT * REPLACE (strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
+    "ingest_json_lines": (json_lines, check("""SELECT * REPLACE (CAST(staff_id AS INTEGER) AS staff_id, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
         strftime(ended_at, '%Y-%m-%d %H:%M:%S.%f') AS ended_at) FROM interaction""")),
     "ingest_typed_ledger": (typed_ledger, check("""SELECT txn_type, CAST(NULL AS VARCHAR) AS fee_type, count(*) AS n,
         round(CAST(sum(amount) AS DOUBLE), 2) AS amount, strftime(min(posted_at), '%Y-%m-%d %H:%M:%S.%f') AS first, max(transaction_id) AS last_id

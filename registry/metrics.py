@@ -58,7 +58,7 @@ def _snapshot_select(names):
 
 
 _JOINED = "f_account_snapshot s LEFT JOIN d_product p ON s.product_id = p.product_id"
-_CALLS = "sum(1) AS call_volume"
+_CALLS = "CAST(sum(1) AS BIGINT) AS call_volume"
 _AHT = _r("sum(duration_seconds) / nullif(sum(1), 0)", "average_handle_time")
 _FCR = _r("sum(CAST(first_contact_resolved AS INT)) / nullif(sum(1), 0)", "first_contact_resolution_rate")
 _NPS = _r("(sum(is_promoter) - sum(is_detractor)) / nullif(sum(1), 0) * 100", "nps")
@@ -171,30 +171,30 @@ QUERIES = {
         ask("average_handle_time total_duration_seconds", "interaction__category_code", None,
             {"dimension": "interaction__category_code", "op": "in", "value": ["click", "view", "error"]}),
         check(f"""SELECT category_code AS interaction__category_code, {_AHT},
-            sum(duration_seconds) AS total_duration_seconds FROM f_interaction
+            CAST(sum(duration_seconds) AS BIGINT) AS total_duration_seconds FROM f_interaction
             WHERE category_code IN ('click', 'view', 'error') GROUP BY 1""")),
     "metric_nps_and_csat_by_month": (
         ask("nps csat_average_score promoters detractors responses", "metric_time__month"), check(f"""
         SELECT strftime(CAST(date_trunc('month', surveyed_at) AS DATE), '%Y-%m-%d') AS metric_time__month, {_NPS},
-               {_r('avg(score)', 'csat_average_score')}, sum(is_promoter) AS promoters,
-               sum(is_detractor) AS detractors, sum(1) AS responses FROM f_csat GROUP BY 1""")),
+               {_r('avg(score)', 'csat_average_score')}, CAST(sum(is_promoter) AS BIGINT) AS promoters,
+               CAST(sum(is_detractor) AS BIGINT) AS detractors, CAST(sum(1) AS BIGINT) AS responses FROM f_csat GROUP BY 1""")),
     "metric_csat_by_call_category": (
         ask("csat_average_score responses", "interaction__category_code interaction__channel", None,
             [{"dimension": "member__home_branch", "op": "eq", "value": "Downtown"}]), check(f"""
         SELECT i.category_code AS interaction__category_code, i.channel AS interaction__channel,
-               {_r('avg(score)', 'csat_average_score')}, sum(1) AS responses
+               {_r('avg(score)', 'csat_average_score')}, CAST(sum(1) AS BIGINT) AS responses
         FROM f_csat c LEFT JOIN f_interaction i ON c.interaction_id = i.interaction_id
         LEFT JOIN d_member m ON c.member_id = m.member_id WHERE m.home_branch = 'Downtown' GROUP BY 1, 2""")),
     "metric_by_day": (ask("call_volume first_contact_resolved_calls", "metric_time__day"), check("""
-        SELECT strftime(started_at, '%Y-%m-%d') AS metric_time__day, sum(1) AS call_volume,
-               sum(CAST(first_contact_resolved AS INT)) AS first_contact_resolved_calls
+        SELECT strftime(started_at, '%Y-%m-%d') AS metric_time__day, CAST(sum(1) AS BIGINT) AS call_volume,
+               CAST(sum(CAST(first_contact_resolved AS INT)) AS BIGINT) AS first_contact_resolved_calls
         FROM f_interaction GROUP BY 1""")),
     "metric_multi_fact_combine": (
         ask("call_volume nps average_handle_time responses", "interaction__category_code member__home_branch"),
         check(f"""
         WITH calls AS (SELECT category_code, home_branch, {_CALLS}, {_AHT} FROM f_interaction i
                        LEFT JOIN d_member m ON i.member_id = m.member_id GROUP BY 1, 2),
-             replies AS (SELECT i.category_code, home_branch, {_NPS}, sum(1) AS responses FROM f_csat c
+             replies AS (SELECT i.category_code, home_branch, {_NPS}, CAST(sum(1) AS BIGINT) AS responses FROM f_csat c
                        LEFT JOIN f_interaction i ON c.interaction_id = i.interaction_id
                        LEFT JOIN d_member m ON c.member_id = m.member_id GROUP BY 1, 2)
         SELECT coalesce(c.category_code, r.category_code) AS interaction__category_code,
@@ -225,7 +225,7 @@ QUERIES = {
         ask("rate_lock_volume rate_locks_count", "household__household_label metric_time__year"), check(f"""
         SELECT h.household_label AS household__household_label,
                strftime(CAST(date_trunc('year', locked_at) AS DATE), '%Y-%m-%d') AS metric_time__year,
-               {_r('sum(loan_amount)', 'rate_lock_volume')}, sum(1) AS rate_locks_count FROM f_rate_lock r
+               {_r('sum(loan_amount)', 'rate_lock_volume')}, CAST(sum(1) AS BIGINT) AS rate_locks_count FROM f_rate_lock r
         LEFT JOIN d_member m ON r.member_id = m.member_id
         LEFT JOIN d_household h ON m.household_id = h.household_id GROUP BY ALL""")),
     "metric_snapshot_totals": (ask(" ".join(_SNAPSHOT)), check(
@@ -279,8 +279,8 @@ QUERIES = {
         ask("rate_locks_count rate_lock_volume rate_locks_exercised rate_locks_expired rate_lock_fallout_pct",
             "rate_lock__lock_period_days product__lob"), check(f"""
         SELECT r.lock_period_days AS rate_lock__lock_period_days, p.lob AS product__lob,
-               sum(1) AS rate_locks_count, {_r('sum(loan_amount)', 'rate_lock_volume')},
-               sum(is_exercised) AS rate_locks_exercised, sum(is_expired) AS rate_locks_expired,
+               CAST(sum(1) AS BIGINT) AS rate_locks_count, {_r('sum(loan_amount)', 'rate_lock_volume')},
+               CAST(sum(is_exercised) AS BIGINT) AS rate_locks_exercised, CAST(sum(is_expired) AS BIGINT) AS rate_locks_expired,
                {_r('sum(is_expired) / nullif(sum(1), 0)', 'rate_lock_fallout_pct')}
         FROM f_rate_lock r LEFT JOIN d_product p ON r.product_id = p.product_id GROUP BY 1, 2""")),
     "metric_limit_and_decimals": (

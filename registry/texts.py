@@ -160,7 +160,7 @@ QUERIES = {
             CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS pos, CAST(count(*) OVER (PARTITION BY conv_id) AS INT) AS n FROM m),
         q AS (SELECT conv_id, right(text, 20) AS q FROM conversations WHERE turn = 2),
         c AS (SELECT conv_id, min(pos) AS cited FROM n JOIN q USING (conv_id) WHERE contains(text, q) GROUP BY 1)
-        SELECT conv_id, cited, n AS "of", pos AS position, pos = cited AS mark FROM n JOIN c USING (conv_id) WHERE abs(pos - cited) <= 1"""),
+        SELECT conv_id, CAST(cited AS BIGINT) AS cited, n AS "of", pos AS position, pos = cited AS mark FROM n JOIN c USING (conv_id) WHERE abs(pos - cited) <= 1"""),
     "text_transcript_view": (views, """
         WITH n AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN count(*) * 37 END AS s FROM conversations GROUP BY 1),
         l AS (SELECT conv_id, 'Duration: ' || coalesce((s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0'), 'unknown') || ' (minutes:seconds)' AS length FROM n)
