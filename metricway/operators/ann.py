@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +33,12 @@ class CellIndex:
         """sqrt(n) cells. Only the training reads a sample; every row is assigned and searched."""
         n = corpus.count()
         cells = cells or max(1, round(math.sqrt(n)))
-        v = F.col(vector)
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        unit = corpus.withColumn("_unit", array_to_vector(F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12)))))
+        raw = corpus.withColumn("_raw", array_to_vector(F.col(vector)))
+        unit = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0).transform(raw).drop("_raw")
         share = min(1.0, TRAIN_PER_CELL * cells / max(n, 1))
         train = unit.select("_unit") if share == 1.0 else unit.select("_unit").sample(share, seed)
-        model = KMeans(k=cells, seed=seed, maxIter=iterations, featuresCol="_unit", predictionCol="cell").fit(train)
+        model = KMeans(k=cells, seed=seed, maxIter=iterations, featuresCol="_unit", predictionCol="cell",
+                       initMode="random").fit(train)
         rows = model.transform(unit).drop("_unit")
         return cls(rows, np.array(model.clusterCenters()), doc, vector)
 

@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricway.functions.binding import let
 from metricway.operators.search import tokens
 from metricway.plans.catalog import METRICS
 
@@ -132,10 +133,15 @@ def named_metrics(question: Column, labels: dict[str, str] | None = None) -> Col
     spans = F.filter(F.array(*(F.struct(
         F.regexp_instr(q, F.lit(word(c))).alias("from"), F.lit(len(c)).alias("long"), F.lit(n).alias("name"))
         for n, c in cores.items())), lambda s: s["from"] > 0)
-    def inside(s):
-        return F.exists(spans, lambda o: (o["from"] <= s["from"]) & (
-            s["from"] + s["long"] <= o["from"] + o["long"]) & (o["long"] > s["long"]))
-    return F.transform(F.array_sort(F.filter(spans, lambda s: ~inside(s))), lambda s: s["name"])
+
+    def outer(found: Column) -> Column:
+        def covers(o: Column, s: Column) -> Column:
+            return (o["from"] <= s["from"]) & (s["from"] + s["long"] <= o["from"] + o["long"]) & (o["long"] > s["long"])
+
+        kept = F.filter(found, lambda s: ~F.exists(found, lambda o: covers(o, s)))
+        return F.transform(F.array_sort(kept), lambda s: s["name"])
+
+    return let(spans, outer)
 
 
 def _votes(text: Column, qualifiers: tuple[str, ...]) -> Column:
@@ -144,9 +150,13 @@ def _votes(text: Column, qualifiers: tuple[str, ...]) -> Column:
 
 def _strongest(scored: Column) -> Column:
     """The candidates named in full (the longest name), else those with the most votes."""
-    full = F.array_max(F.transform(scored, lambda c: c["full"]))
-    votes = F.array_max(F.transform(scored, lambda c: c["votes"]))
-    return F.filter(scored, lambda c: F.when(full > 0, c["full"] == full).otherwise(c["votes"] == votes))
+    def strongest(found: Column) -> Column:
+        best = F.struct(F.array_max(F.transform(found, lambda c: c["full"])).alias("full"),
+                        F.array_max(F.transform(found, lambda c: c["votes"])).alias("votes"))
+        return let(best, lambda b: F.filter(found, lambda c: F.when(
+            b["full"] > 0, c["full"] == b["full"]).otherwise(c["votes"] == b["votes"])))
+
+    return let(scored, strongest)
 
 
 def matched_terms(question: Column, skip: tuple[str, ...] = ()) -> Column:
