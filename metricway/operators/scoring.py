@@ -158,12 +158,16 @@ def setup_warnings(a: dict, b: dict, allow_datasets: bool = False) -> list[str]:
 
 
 def run_files(names: DataFrame, column: str = "name") -> DataFrame:
-    """name, at, run, place: the files that are runs, newest first, per run and over all."""
+    """name, at, run: the files that are runs."""
     at = F.regexp_extract(column, RUN_FILE, 1)
-    files = names.filter(F.col(column).rlike(RUN_FILE)).select(
+    return names.filter(F.col(column).rlike(RUN_FILE)).select(
         F.col(column).alias("name"), at.alias("at"), F.regexp_extract(column, RUN_FILE, 2).alias("run"))
-    return files.withColumn("run_place", F.row_number().over(
-        Window.partitionBy("run").orderBy(F.desc("at"), F.desc("name"))) - 1)
+
+
+def newest_of_runs(files: DataFrame, keep: int = 2) -> DataFrame:
+    """The newest files of each run name, with their place from 0; each task keeps `keep` a run."""
+    place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("at"), F.desc("name")))
+    return files.withColumn("run_place", place).filter(F.col("run_place") <= keep).withColumn("run_place", F.col("run_place") - 1)
 
 
 def latest(files: DataFrame, back: int = 0) -> DataFrame:
@@ -173,7 +177,7 @@ def latest(files: DataFrame, back: int = 0) -> DataFrame:
 
 def ambiguous_runs(files: DataFrame) -> DataFrame:
     """Runs whose two newest files fall in the same minute: their name alone picks neither."""
-    newest = files.filter("run_place <= 1").groupBy("run").agg(
+    newest = newest_of_runs(files, 2).groupBy("run").agg(
         F.count("*").alias("n"), F.count_distinct(F.substring("at", 1, 15)).alias("minutes"))
     return newest.filter("n = 2 AND minutes = 1").select("run")
 

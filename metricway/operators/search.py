@@ -180,8 +180,8 @@ class TextIndex:
     def write(self, folder: str, buckets: int = 64) -> "TextIndex":
         """Store the counts by term bucket, so a search reads only its own terms' folders."""
         counts = self._counts().withColumn("bucket", _term_bucket(buckets))
-        part = F.pmod(F.xxhash64(self.doc), F.lit(8))  # a hot term is cut in eight
-        counts.filter("term <> ''").repartition("bucket", part).sortWithinPartitions("term").write.mode(
+        part = F.xxhash64(self.doc)  # a hot term is cut by document
+        counts.filter("term <> ''").repartitionByRange("bucket", "term", part).sortWithinPartitions("bucket", "term").write.mode(
             "overwrite").partitionBy("bucket").parquet(f"{folder}/counts")
         lengths = self._docs.select(self.doc, F.regexp_count(F.lower("text"), F.lit(TOKEN)).alias("length"))
         lengths.write.mode("overwrite").parquet(f"{folder}/lengths")

@@ -86,8 +86,10 @@ def tag_name(label: str, taken: set[str]) -> str:
 
 def expired_tags(tags: DataFrame, keep: int = KEEP_SEEDS) -> DataFrame:
     """Seed tags beyond the newest `keep` of each table (column `store`); other tags never expire."""
+    seeds = tags.filter(F.col("name").startswith(SEED))
     place = F.row_number().over(Window.partitionBy("store").orderBy(F.desc("version"), F.desc("name")))
-    return tags.filter(F.col("name").startswith(SEED)).withColumn("place", place).filter(F.col("place") > keep).drop("place")
+    newest = seeds.withColumn("place", place).filter(F.col("place") <= keep)  # each task keeps `keep` a store
+    return seeds.join(newest.select("store", "name"), ["store", "name"], "left_anti")
 
 
 def droppable_versions(versions: DataFrame, tags: DataFrame, days: int = 14, today: Column | None = None) -> DataFrame:

@@ -212,25 +212,31 @@ def agreement(given: Column, gold: Column) -> dict[str, Column]:
     return out
 
 
-def review_quotas(sizes: dict[str, int], size: int, floor: int = REVIEW_FLOOR) -> dict[str, int]:
-    """A floor per category, then slot by slot to the category furthest below its share."""
-    total = sum(sizes.values())
-    if total <= size:
-        return dict(sizes)
-    quota = {c: min(floor, n) for c, n in sizes.items()}
-    for _ in range(size - sum(quota.values())):
-        open_ = [c for c in sizes if quota[c] < sizes[c]]
-        if not open_:
-            break
-        quota[max(open_, key=lambda c: (size * sizes[c] / total - quota[c], c))] += 1
-    return quota
+def review_quotas(sizes: DataFrame, size: int, floor: int = REVIEW_FLOOR) -> DataFrame:
+    """category, quota from (category, n): a floor each, the other slots to whoever is furthest below
+    its proportional share.
+
+    A category's next slot is wanted by share minus slots held, which falls by one with each
+    slot, so handing out one at a time is the same as taking the most wanted slots of all. At
+    most `size` slots a category are laid out.
+    """
+    everyone = Window.partitionBy()  # one row a category
+    rows = sizes.withColumn("total", F.sum("n").over(everyone)).withColumn("first", F.least(F.lit(floor), "n"))
+    rows = rows.withColumn("spare", F.greatest(F.lit(size) - F.sum("first").over(everyone), F.lit(0)))
+    most = F.least("n", F.lit(size)).cast("int")
+    slots = rows.filter(most > F.col("first")).select(
+        "category", "n", "total", "spare", F.explode(F.sequence(F.col("first").cast("int"), most - 1)).alias("held"))
+    want = F.lit(size) * F.col("n") / F.col("total") - F.col("held")
+    place = F.row_number().over(Window.orderBy(want.desc(), F.desc("category")))
+    given = slots.withColumn("place", place).filter(F.col("place") <= F.col("spare")).groupBy("category").agg(
+        F.count("*").alias("more"))
+    return rows.join(given, "category", "left").select("category", F.when(F.col("total") <= size, F.col("n")).otherwise(
+        F.col("first") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
 def review_sample(rows: DataFrame, size: int = REVIEW_SIZE) -> DataFrame:
     """About `size` rows spread over the categories, lowest hashes first."""
-    spark = rows.sparkSession
-    sizes = {r.category: r.n for r in rows.groupBy("category").agg(F.count("*").alias("n")).collect()}  # one row a category
-    quota = spark.createDataFrame(list(review_quotas(sizes, size).items()), "category string, quota long")
+    quota = review_quotas(rows.groupBy("category").agg(F.count("*").alias("n")), size)
     hashed = rows.withColumn("hash", F.sha2(F.concat(F.lit("review_v1:"), "call_id"), 256))
     lowest = Window.partitionBy("category").orderBy("hash", "call_id")
     # Each task keeps at most `size` rows of a category before the shuffle.
@@ -243,11 +249,14 @@ def review_sample(rows: DataFrame, size: int = REVIEW_SIZE) -> DataFrame:
 def content_fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     """One hash of the whole content, whatever the order and partitioning of the rows.
 
-    Row hashes are folded per prefix, then the prefixes' hashes; a fold holds n/65536 hashes.
+    Equal rows are counted first, so copies are one entry. Entries are folded per prefix, then the
+    prefixes' hashes; a fold holds 1/65536 of the distinct rows.
     """
     row = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns)), 256)
-    per_prefix = rows.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    counted = rows.groupBy(row.alias("h")).agg(F.count("*").alias("n"))
+    entry = F.concat("h", F.lit("x"), F.col("n").cast("string"))
+    per_prefix = counted.groupBy(F.substring("h", 1, 4).alias("p")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ""), 256).alias("h"))
     per_half = per_prefix.groupBy(F.substring("p", 1, 2).alias("p")).agg(
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
     return per_half.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""),

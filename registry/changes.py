@@ -360,6 +360,16 @@ _CITED = """cited AS (SELECT CAST(year(day) AS INT) AS answer, CASE WHEN seconds
     checked AS (SELECT c.answer, c.call_id, l.day IS NOT NULL AS "exists", coalesce(l.day >= b AND l.day < e, false) AS inside
         FROM cited c LEFT JOIN call_log l USING (call_id) LEFT JOIN wins w ON w.answer = c.answer)"""
 
+def explain_sql():
+    """The windows of the call volume over the categories that rose, or over all when none did."""
+    plain_sql = window_values_sql("call_volume")
+    picked = """(SELECT category FROM (SELECT category, count(*) FILTER (day < DATE '1998-06-15') AS b,
+            count(*) FILTER (day >= DATE '1998-06-15') AS a FROM call_log
+            WHERE day >= DATE '1998-05-04' AND day < DATE '1998-07-27' GROUP BY 1)
+        WHERE a > b AND (a - b) / sqrt(a + b) >= 2 ORDER BY (a - b) / sqrt(a + b) DESC, category LIMIT 5)"""
+    return plain_sql.replace("FROM call_log WHERE true", f"FROM call_log WHERE (category IN {picked} OR NOT EXISTS {picked})")
+
+
 QUERIES = {
     **{f"change_weekly_{m}": (weekly(m), weekly_sql(m)) for m in C.METRICS},
     "change_weekly_by_segment": (weekly("first_contact_resolution_rate", ("category", "home_branch")),
@@ -406,7 +416,7 @@ QUERIES = {
                             FROM ({_MONDAYS}), span)
         SELECT strftime(d, '%Y-%m-%d') AS day, length, strftime(d - length, '%Y-%m-%d') AS before_start,
             strftime(d + length, '%Y-%m-%d') AS after_end, length < 42 AS shortened, length >= 7 AS fits FROM m""")),
-    "change_explain": (explain_windows, None),
+    "change_explain": (explain_windows, explain_sql()),
     "change_hash_sample": (
         lambda spark, sf: sample_of(spark, sf).select("window", "call_id", "hash", "place"),
         check(f"WITH {_WINDOWED} SELECT win AS window, call_id, sha256(call_id) AS hash, CAST(place AS INT) AS place FROM sampled")),

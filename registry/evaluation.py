@@ -418,8 +418,10 @@ QUERIES = {
         a AS (SELECT "group", key, avg(CAST(CASE WHEN key = 'clean' AND n_chars >= 2000 THEN NULL ELSE score END AS INT)) AS v FROM long GROUP BY 1, 2)
         SELECT "group", key, round(b.v, 6) AS before, round(a.v, 6) AS after, CASE WHEN a.v IS NULL OR b.v IS NULL THEN ''
             WHEN abs(a.v - b.v) < 0.005 THEN '=' ELSE printf('%+.2f', a.v - b.v) END AS delta FROM b JOIN a USING ("group", key)"""),
-    "eval_run_files": (lambda spark, sf: E.run_files(file_rows(spark, sf)), f"""WITH {_FILES}
-        SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY "at" DESC, name DESC) - 1 AS INT) AS run_place FROM runs"""),
+    "eval_run_files": (lambda spark, sf: E.run_files(file_rows(spark, sf)), f"WITH {_FILES} SELECT * FROM runs"),
+    "eval_newest_of_runs": (lambda spark, sf: E.newest_of_runs(E.run_files(file_rows(spark, sf)), 3), f"""WITH {_FILES}
+        SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY "at" DESC, name DESC) - 1 AS INT) AS run_place FROM runs
+        QUALIFY run_place < 3"""),
     "eval_latest_run": (lambda spark, sf: E.latest(E.run_files(file_rows(spark, sf)), 2).select("name", "run"),
                         f'WITH {_FILES} SELECT name, run FROM runs ORDER BY "at" DESC, name DESC LIMIT 1 OFFSET 2'),
     "eval_ambiguous_runs": (lambda spark, sf: E.ambiguous_runs(E.run_files(file_rows(spark, sf))), f"""WITH {_FILES}

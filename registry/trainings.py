@@ -271,15 +271,23 @@ QUERIES = {
         SELECT category, 1.0::DOUBLE AS reason_for_call, round(avg(CAST(lob IS NOT NULL AS INT)), 4) AS product_line, 1.0::DOUBLE AS resolution,
             round(avg(CAST(j % 5 <> 0 AS INT)), 4) AS follow_up_needed, round(avg([2.0 / 3, 1, 0.5][j % 3 + 1]::DOUBLE), 4) AS metric_pair_f1,
             round(avg([2.0 / 3, 1, 1][j % 3 + 1]::DOUBLE), 4) AS metric_value_f1 FROM x GROUP BY 1"""),
-    "train_review_sample": (review, None),
+    "train_review_sample": (review, """
+        WITH d AS (SELECT 'CALL-' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS call_id, lang AS category FROM documents),
+        g AS (SELECT category, count(*) AS n, sum(count(*)) OVER () AS t FROM d GROUP BY 1),
+        f AS (SELECT *, least(2, n) AS fl, 50 - sum(least(2, n)) OVER () AS spare FROM g),
+        slots AS (SELECT category, row_number() OVER (ORDER BY 50 * n / t - held DESC, category DESC) AS r, spare
+            FROM (SELECT *, unnest(range(fl, n)) AS held FROM f)),
+        q AS (SELECT f.category, fl + count(r) AS quota FROM f LEFT JOIN slots s ON s.category = f.category AND r <= s.spare GROUP BY f.category, fl),
+        p AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY sha256('review_v1:' || call_id)) AS INT) AS place FROM d)
+        SELECT call_id, category, place FROM p JOIN q USING (category) WHERE place <= quota"""),
     "train_agreement_means": (
         lambda spark, sf: T.agreement_means(teacher(spark, sf), "given", "gold"), f"""WITH {_CALLS}, x AS (SELECT *, k // 4 AS j FROM c)
         SELECT count(*) AS n, 1.0::DOUBLE AS reason_for_call, round(avg(CAST(lob IS NOT NULL AS INT)), 4) AS product_line, 1.0::DOUBLE AS resolution,
             round(avg(CAST(j % 5 <> 0 AS INT)), 4) AS follow_up_needed, round(avg([2.0 / 3, 1, 0.5][j % 3 + 1]::DOUBLE), 4) AS metric_pair_f1,
             round(avg([2.0 / 3, 1, 1][j % 3 + 1]::DOUBLE), 4) AS metric_value_f1 FROM x"""),
     "train_attempts": (tried, "SELECT o_orderkey % 3 + 1 AS attempts, count(*) AS n FROM orders GROUP BY 1"),
-    "train_fingerprint": (fingerprint, check(f"""WITH {_SPLITS}, r AS (SELECT sha256(call_id || chr(1) || split) AS h FROM cut),
-        p AS (SELECT h[:4] AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1),
+    "train_fingerprint": (fingerprint, check(f"""WITH {_SPLITS}, r AS (SELECT sha256(call_id || chr(1) || split) AS h, count(*) AS m FROM cut GROUP BY 1),
+        p AS (SELECT h[:4] AS p, sha256(string_agg(h || 'x' || m, '' ORDER BY h)) AS h FROM r GROUP BY h[:4]),
         halves AS (SELECT p[:2] AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM p GROUP BY p[:2])
         SELECT sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM halves""")),
     "assign_hash_buckets": (branches, check("""

@@ -40,10 +40,22 @@ def test_renumber_is_dense_when_one_moment_holds_a_third(spark):
     assert got.join(want, "id").filter("n <> w").count() == 0
 
 
-def test_review_quotas_by_hand():
-    assert T.review_quotas({"a": 5, "b": 3}, 10) == {"a": 5, "b": 3}
-    quota = T.review_quotas({"a": 90, "b": 9, "c": 1}, 20)
-    assert sum(quota.values()) == 20 and quota["c"] == 1 and quota["b"] >= 2 and quota["a"] >= 16
+def test_review_quotas_are_the_slot_by_slot_rule(spark):
+    def slot_by_slot(sizes, size, floor):
+        """The rule as it is told, one slot after the other."""
+        total = sum(sizes.values())
+        if total <= size:
+            return sizes
+        held = {c: min(floor, n) for c, n in sizes.items()}
+        while sum(held.values()) < size and any(held[c] < n for c, n in sizes.items()):
+            free = [c for c, n in sizes.items() if held[c] < n]
+            held[max(free, key=lambda c: (size * sizes[c] / total - held[c], c))] += 1
+        return held
+
+    for sizes, size in (({"a": 5, "b": 3}, 10), ({"a": 90, "b": 9, "c": 1}, 20), ({"a": 40, "b": 40, "c": 41}, 50),
+                        ({"a": 1000, "b": 1, "c": 2, "d": 30}, 17), ({c: 3 for c in "abcdef"}, 14)):
+        rows = spark.createDataFrame(list(sizes.items()), "category string, n long")
+        assert {r.category: r.quota for r in T.review_quotas(rows, size).collect()} == slot_by_slot(sizes, size, 2)
 
 
 def test_review_sample_takes_the_lowest_hashes(spark):
