@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from metricway.functions.text import squeeze
 from metricway.functions.where import filtered
 from metricway.operators.evidence import MAX_QUOTE, MIN_QUOTE
-from metricway.session import sized, spread
+from metricway.session import sized, spread, written
 
 # Fusion constant, BM25 parameters, default blend, token pattern.
 RRF_K = 60
@@ -103,6 +103,11 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
     return ranked(found, k, query, doc)
 
 
+def shortened(score: Column) -> Column:
+    """A score of 0 or more at SCORE_DIGITS digits, without the decimal arithmetic of round()."""
+    return F.floor(score * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
+
+
 def ranked(hits: DataFrame, k: int, query: str, doc: str) -> DataFrame:
     """Adds rank by score then id, and keeps the first k of each query."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), doc)
@@ -170,9 +175,13 @@ class TextIndex:
         return rows.groupBy("term", self.doc, "length").agg(F.count("*").alias("tf"))
 
     def counts_of(self, terms: DataFrame) -> DataFrame:
-        """The counts of the given distinct terms, and every document's own row."""
+        """The counts of the given distinct terms, and every document's own row.
+
+        They are read several times (totals, holders, scores), so the texts are counted once and
+        the small result is written down.
+        """
         if self._stored is None:
-            return self._counts(terms)
+            return written(self._counts(terms))
         wanted = terms.withColumn("bucket", _term_bucket(self._buckets))
         own = self._lengths.select(F.lit("").alias("term"), self.doc, "length", F.lit(1).cast("long").alias("tf"))
         return self._stored.join(wanted, ["bucket", "term"]).select("term", self.doc, "length", "tf").unionByName(own)
@@ -208,16 +217,15 @@ def bm25(index: TextIndex, queries: DataFrame, query: str = "query_id", text: st
     """
     wanted = queries.select(query, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     counts = index.counts_of(wanted.select("term").distinct())
-    here = F.col("tf") > 0  # always true; keeps the plan of each use alike, so the counts are made once
-    own = F.col("term") == ""
-    totals = counts.agg(F.count_if(own & here).alias("docs"), F.avg(F.when(own, F.col("length"))).alias("mean"))
+    totals = counts.filter("term = ''").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     docs, mean = totals.select("docs").scalar(), totals.select("mean").scalar()
-    holders = counts.groupBy("term").agg(F.count_if(here).alias("df"))
+    holders = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(holders, "term").select(query, "term", idf.alias("idf"))
     tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    return counts.repartition(index.doc).join(sized(weights), "term").groupBy(query, index.doc).agg(F.sum(part).alias("bm25"))
+    part = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))).alias("part")
+    scored = counts.repartition(index.doc).select("term", index.doc, part).join(sized(weights), "term")
+    return scored.groupBy(query, index.doc).agg(F.sum(F.col("idf") * F.col("part")).alias("bm25"))
 
 
 def text_search(index: TextIndex, queries: DataFrame, k: int, query: str = "query_id", text: str = "query",
@@ -229,7 +237,7 @@ def text_search(index: TextIndex, queries: DataFrame, k: int, query: str = "quer
     hits = bm25(index, queries, query, text)
     if allowed is not None:
         hits = hits.join(allowed.select(index.doc), index.doc, "left_semi")
-    top = ranked(hits.withColumn("score", F.round("bm25", SCORE_DIGITS)), k, query, index.doc)
+    top = ranked(hits.withColumn("score", shortened(F.col("bm25"))), k, query, index.doc)
     best = F.max("score").over(Window.partitionBy(query))  # k rows a query
     return top.withColumn("score", F.when(best > 0, F.col("score") / best).otherwise(0.0)).drop("bm25")
 
@@ -241,7 +249,7 @@ def fuse_ranks(a: DataFrame, b: DataFrame, k: int, query: str = "query_id", doc:
     both = a.select(query, doc, F.col("rank").alias("ra")).join(
         b.select(query, doc, F.col("rank").alias("rb")), [query, doc], "full_outer")
     gain = sum((F.coalesce(F.lit(1.0) / (RRF_K + F.col(r)), F.lit(0.0)) for r in ("ra", "rb")), F.lit(0.0))
-    return ranked(both.select(query, doc, F.round(gain / (2.0 / (RRF_K + 1)), SCORE_DIGITS).alias("score")), k, query, doc)
+    return ranked(both.select(query, doc, shortened(gain / (2.0 / (RRF_K + 1))).alias("score")), k, query, doc)
 
 
 def blend_scores(vector_hits: DataFrame, text_hits: DataFrame, k: int, alpha: float = ALPHA,

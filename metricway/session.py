@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,13 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: made once, whatever reads them and how often."""
+    folder = f"{shared_folder(df.sparkSession)}/metricway-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: survives the loss of executors."""
     spark = df.sparkSession
