@@ -139,8 +139,9 @@ _PERIOD_SQL = """
     WITH r AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d,
             make_date((SELECT min(y) FROM (SELECT DISTINCT year(day) AS y, month(day) AS m FROM call_log)
                        WHERE m = month(o_orderdate)), month(o_orderdate), 1) AS f FROM orders),
-    s AS (SELECT *, CASE k WHEN 0 THEN d WHEN 1 THEN f + CAST(day(d) AS INT) - 1 WHEN 2 THEN f WHEN 3 THEN f + 10 WHEN 4 THEN f + 20 WHEN 5 THEN f END AS lo,
-        CASE k WHEN 0 THEN d WHEN 1 THEN f + CAST(day(d) AS INT) - 1 WHEN 2 THEN f + 9 WHEN 3 THEN f + 19 WHEN 4 THEN last_day(f) WHEN 5 THEN last_day(f) END AS hi FROM r)
+    s AS (SELECT *, CASE k WHEN 0 THEN d WHEN 1 THEN CASE WHEN day(d) <= day(last_day(f)) THEN f + CAST(day(d) AS INT) - 1 END WHEN 2 THEN f WHEN 3 THEN f + 10 WHEN 4 THEN f + 20 WHEN 5 THEN f END AS lo,
+        CASE k WHEN 0 THEN d WHEN 1 THEN CASE WHEN day(d) <= day(last_day(f)) THEN f + CAST(day(d) AS INT) - 1 END WHEN 2 THEN f + 9 WHEN 3 THEN f + 19 WHEN 4 THEN last_day(f) WHEN 5 THEN last_day(f) END AS hi FROM r)
+    -- a day that its month does not have in that year (February 29 of 1995) is no period
     SELECT o_orderkey, strftime(lo - 3, '%Y-%m-%d') AS start, strftime(hi + 4, '%Y-%m-%d') AS "end" FROM s"""
 
 QUERIES = {
