@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import sharding
-from metricway.llm.common import table, utf8_bytes
+from metricway.llm import rules, sharding
+from metricway.llm.common import table, utf8_bytes, written
 
 
 def histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,89 @@ def histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the verdict of the adaptive limits for every document."""
+    rows = rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    kept = rules.adaptive_filter(written(rows))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       "base_failed", "kept")
+
+
+def _adaptive_rules_sql() -> str:
+    unit = f"CAST(pow(2, greatest(length(bin(v)) - {rules.SIGNIFICANT}, 0)) AS BIGINT)"
+    values = " UNION ALL ".join(
+        f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, "
+        f"CASE WHEN {under} > 0 THEN {rules.SCALE} * {over} // {under} ELSE 0 END AS v FROM base"
+        for m, (over, under, *_) in rules.MEASURES.items())
+
+    def quartiles(by: str) -> str:
+        keys = f"{by}, " if by else ""
+        return f"""SELECT {keys}measure, max(total) AS n,
+            min(CASE WHEN 4 * below >= total THEN bin END) AS q1,
+            min(CASE WHEN 4 * below >= 3 * total THEN bin END) AS q3
+          FROM (SELECT {keys}measure, bin, sum(c) OVER (PARTITION BY {keys}measure ORDER BY bin) AS below,
+                       sum(c) OVER (PARTITION BY {keys}measure) AS total
+                FROM (SELECT {keys}measure, bin, count(*) AS c FROM binned GROUP BY {keys}measure, bin))
+          GROUP BY {keys}measure"""
+
+    widths = " ".join(f"WHEN '{m}' THEN {x[2]}" for m, x in rules.MEASURES.items())
+    least = " ".join(f"WHEN '{m}' THEN {x[3]}" for m, x in rules.MEASURES.items())
+    lower = ", ".join(f"'{m}'" for m, x in rules.MEASURES.items() if x[4])
+    return f"""
+    WITH texts AS (
+      SELECT doc_id, lang, source,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(coalesce(text, ''), chr(10)),
+                         lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+      FROM documents),
+    places AS (
+      SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts)),
+    starts AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM places) WHERE c > 1),
+    repeats AS (
+      SELECT doc_id, sum(least(coalesce(following - i, 3), 3)) AS n
+      FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM starts)
+      GROUP BY doc_id),
+    counted AS (
+      SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(array_to_string(words, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             CAST(len(lines) AS BIGINT) AS n_lines,
+             CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words
+      FROM texts LEFT JOIN repeats USING (doc_id)),
+    base AS (
+      SELECT *, (n_words < {rules.MIN_WORDS}
+                 OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words) AS base_failed FROM counted),
+    measures AS ({values}),
+    binned AS (SELECT *, v - v % {unit} AS bin FROM measures WHERE NOT base_failed),
+    fine AS ({quartiles("lang, source")}),
+    mid AS ({quartiles("lang")}),
+    whole AS ({quartiles("")}),
+    picked AS (
+      SELECT f.lang, f.source, f.measure,
+             CASE WHEN f.n >= {rules.MIN_GROUP} THEN f.q1 WHEN m.n >= {rules.MIN_GROUP} THEN m.q1 ELSE w.q1 END AS q1,
+             CASE WHEN f.n >= {rules.MIN_GROUP} THEN f.q3 WHEN m.n >= {rules.MIN_GROUP} THEN m.q3 ELSE w.q3 END AS q3
+      FROM fine f JOIN mid m ON f.lang IS NOT DISTINCT FROM m.lang AND f.measure = m.measure
+      JOIN whole w ON f.measure = w.measure),
+    bounds AS (
+      SELECT lang, source, measure,
+             q3 + (CASE measure {widths} END) * (q3 - q1) + (CASE measure {least} END) AS high,
+             CASE WHEN measure IN ({lower})
+                  THEN q1 - (CASE measure {widths} END) * (q3 - q1) - (CASE measure {least} END) ELSE 0 END AS low
+      FROM picked),
+    outside AS (
+      SELECT DISTINCT x.doc_id FROM measures x
+      JOIN bounds b ON x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DISTINCT FROM b.source
+       AND x.measure = b.measure
+      WHERE NOT x.v BETWEEN b.low AND b.high)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
+    FROM base"""
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
+    "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
 }
