@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import chat, rules, sharding
+from metricway.llm import chat, rules, sharding, simhash
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -146,8 +146,41 @@ CHAT_SQL = """
     FROM sized GROUP BY conv_id"""
 
 
+RADIUS = 3
+
+
+def simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts.
+
+    n_within: for every document whose id is divisible by 50, how many rows have a fingerprint within 3 bits of its own,
+    by the block tables over all fingerprints.
+    """
+    both = simhash.edited(table(spark, sf_dir, "documents")).select(
+        "doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"),
+                          F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
+    keys = ["doc_id", "next_id", "n_chars", "edited_sha256"]
+    prints = simhash.fingerprints(both.select(*keys, "v.which", "v.text"), "text", [*keys, "which"])
+    own = written(prints.groupBy(*keys).agg(
+        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"),
+        F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint")))
+    after = own.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("after"))
+    copies = written(own.groupBy("fingerprint").agg(F.count("*").alias("rows")))
+    asked = own.filter(F.col("doc_id") % 50 == 0)
+    found = (simhash.within(asked, copies, RADIUS).join(copies, "fingerprint")
+             .groupBy("query").agg(F.sum("rows").alias("n_within")))
+    return (own.join(after, "next_id")
+            .join(found, (F.col("query") == F.col("fingerprint")) & (F.col("doc_id") % 50 == 0), "left")
+            .select("doc_id", "n_chars", "edited_sha256", simhash.hexed(F.col("fingerprint")).alias("fingerprint"),
+                    simhash.hexed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+                    simhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                    simhash.likeness(F.col("fingerprint"), F.col("after")).alias("near_next"),
+                    (F.col("n_within") - 1).alias("n_within")))
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
     "op6_chat_segments": (chat_segments, CHAT_SQL),
+    "op10_simhash": (simhash_tables, None),
 }
