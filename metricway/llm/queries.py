@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import chat, rules, sharding, simhash
+from metricway.llm import chat, packing, rules, sharding, simhash
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -178,9 +178,15 @@ def simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("n_within") - 1).alias("n_within")))
 
 
+def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
     "op6_chat_segments": (chat_segments, CHAT_SQL),
+    "op7_differencing": (packed_windows, None),
     "op10_simhash": (simhash_tables, None),
 }
