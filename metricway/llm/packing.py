@@ -1,7 +1,7 @@
 """Packing: documents cut into pieces, pieces joined to windows by multiway differencing.
 
-Every document becomes token ids and an end id. Whole windows are cut off its front; the rest is cut into pieces of
-at most `piece` tokens. Pieces are dealt by a hash into bins of about `windows` windows; in a bin, Karmarkar-Karp
+Every document becomes token ids and an end id. Whole windows are cut off its front; the rest is cut into
+halves, quarters and so on of a window, down to `least`. Pieces are dealt by a hash into bins of about `windows` windows; in a bin, Karmarkar-Karp
 differencing keeps partial partitions of sorted loads and merges the two of largest spread with opposing orders, so
 that heavy loads meet light ones, until one partition is left. If its largest load is over the capacity, the bin
 gets one window more and is packed again. The number of bins grows with the tokens, so a task holds a
@@ -34,7 +34,7 @@ from metricway.llm.common import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package
 
 CAPACITY = 1024
-PIECE = 192
+LEAST = 64
 WINDOWS = 64
 END_ID = 0
 KEPT_CHUNKS = 300_000
@@ -84,20 +84,23 @@ class Encoder:
         return b"".join(out)
 
 
-def cuts(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole windows, then near-equal pieces of at most `piece`."""
-    full = tokens // capacity
-    out = [(i * capacity, capacity) for i in range(full)]
-    rest = tokens - full * capacity
-    if rest:
-        n = -(-rest // piece)
-        edges = [full * capacity + rest * i // n for i in range(n + 1)]
-        out += [(a, b - a) for a, b in zip(edges, edges[1:])]
+def cuts(tokens: int, capacity: int, least: int) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: whole windows, then halves, quarters and so on of a window while
+    they fit, down to `least`; what is left is the last piece. Such sizes add up to whole windows."""
+    out, at, size = [], 0, capacity
+    while tokens - at:
+        if size < least:
+            size = tokens - at
+        if tokens - at >= size:
+            out.append((at, size))
+            at += size
+        else:
+            size //= 2
     return out
 
 
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text",
-           capacity: int = CAPACITY, piece: int = PIECE, keep_ids: bool = False) -> DataFrame:
+           capacity: int = CAPACITY, least: int = LEAST, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids binary]) of all pieces, cut while the text is read."""
     path = path or vocabulary()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
@@ -110,7 +113,7 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(body or "") + end
                 n = len(ids) // 4
-                for start, length in cuts(n, capacity, piece):
+                for start, length in cuts(n, capacity, least):
                     part = ids[4 * start: 4 * (start + length)]
                     rows.append((doc, start, length, zlib.crc32(part), n, *([part] if keep_ids else ())))
             columns = list(zip(*rows)) or [()] * (5 + keep_ids)
@@ -188,6 +191,6 @@ def bin_of(bins: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(bins)).cast("long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
     """Texts to packed pieces: encoded once, written, and joined to windows."""
-    return windows(written(pieces(docs, path, capacity=capacity, piece=piece)), capacity)
+    return windows(written(pieces(docs, path, capacity=capacity, least=least)), capacity)
