@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import chat, packing, rules, sharding, simhash
+from metricway.llm import chat, language, packing, rules, sharding, simhash
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -183,9 +183,20 @@ def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def segmentation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the folds other than 1 of 3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = packing.vocabulary(language.VOCABULARY)
+    langs, model = language.fit(docs.filter(language.fold("doc_id", 3) != 1), path)
+    out = language.predict(docs.withColumn("held_out", language.fold("doc_id", 3) == 1), langs, model, path,
+                           keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
+    "op4_segmentations": (segmentation_language, None),
     "op6_chat_segments": (chat_segments, CHAT_SQL),
     "op7_differencing": (packed_windows, None),
     "op10_simhash": (simhash_tables, None),
