@@ -8,7 +8,7 @@ gets one window more and is packed again. The number of bins grows with the toke
 bounded number of pieces and no window meets the driver.
 
 Ids come from the byte-pair ranks of the public vocabulary, which give the ids of the named tokenizer file; chunks of
-a text between single spaces are encoded once and kept in a bounded table of each task.
+a text between single spaces and line feeds are encoded once and kept in a bounded table of each task.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed as often as they occur; ties are
 settled by document, start and checksum; an empty table gives an empty result; other columns are not read.
@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 import sys
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -37,7 +37,7 @@ CAPACITY = 1024
 LEAST = 64
 WINDOWS = 64
 END_ID = 0
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 400_000
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 
@@ -59,29 +59,42 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={SPECIAL: len(ranks)})
-        self.chunks: dict[str, bytes] = {}
-        # Between other characters a single space always starts a token; beside white space it may not.
-        self.unsafe = re.compile(r"\s | \s")
+        self.bare: dict[str, bytes] = {}  # words at the start of a line
+        self.spaced: dict[str, bytes] = {}  # words behind a space
+        self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        ids = self.encoding.encode(text, allowed_special="all")
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        ids = self.encoding.encode(text, allowed_special="all") if SPECIAL in text else self.encoding.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+    def words(self, known: dict[str, bytes], chunks: list[str], before: str) -> list[bytes] | None:
+        """Ids of chunks that each stand behind `before`; None if one has white space at an end or a special token."""
+        out = list(map(known.get, chunks))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    chunk = chunks[i]
+                    if not chunk or chunk[0].isspace() or chunk[-1].isspace() or SPECIAL in chunk:
+                        return None
+                    out[i] = self.whole(before + chunk)
+                    if len(chunk) <= 32:
+                        if len(known) >= KEPT_CHUNKS:
+                            known.clear()
+                        known[chunk] = out[i]
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if self.unsafe.search(text) or SPECIAL in text:
-            return self.whole(text)
-        known, out = self.chunks, []
-        for i, chunk in enumerate(text.split(" ")):
-            chunk = f" {chunk}" if i else chunk
-            ids = known.get(chunk)
-            if ids is None:
-                if len(known) >= KEPT_CHUNKS:
-                    known.clear()
-                ids = self.whole(chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        """The pattern starts a token at a single space or line feed between two other characters; so the
+        chunks between these are encoded alone and looked up. Other texts are encoded whole."""
+        lines = []
+        for line in text.split("\n"):
+            chunks = line.split(" ")
+            first = self.words(self.bare, chunks[:1], "")
+            rest = self.words(self.spaced, chunks[1:], " ") if first else None
+            if rest is None:
+                return self.whole(text)
+            lines.append(first[0] + b"".join(rest))
+        return self.newline.join(lines)
 
 
 def cuts(tokens: int, capacity: int, least: int) -> list[tuple[int, int]]:
