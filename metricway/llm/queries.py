@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import chat, language, packing, rules, sharding, simhash
+from metricway.llm import chat, language, packing, rules, sharding, simhash, toxicity
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -193,9 +193,17 @@ def segmentation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def toxicity_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the folds other than 0 of 5."""
+    docs, held_out = table(spark, sf_dir, "documents"), language.fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
+    "op3_label_model": (toxicity_label_model, None),
     "op4_segmentations": (segmentation_language, None),
     "op6_chat_segments": (chat_segments, CHAT_SQL),
     "op7_differencing": (packed_windows, None),
