@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import chat, language, packing, rules, sharding, simhash, toxicity
+from metricway.llm import bagminhash, chat, language, packing, rules, sharding, simhash, toxicity
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -200,11 +200,17 @@ def toxicity_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document by multisets of five-word shingles that overlap by 0.8."""
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
     "op3_label_model": (toxicity_label_model, None),
     "op4_segmentations": (segmentation_language, None),
+    "op5_bagminhash": (near_duplicates, None),
     "op6_chat_segments": (chat_segments, CHAT_SQL),
     "op7_differencing": (packed_windows, None),
     "op10_simhash": (simhash_tables, None),
