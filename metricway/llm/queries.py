@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import bagminhash, chat, language, packing, rules, sharding, simhash, toxicity
+from metricway.llm import bagminhash, chat, language, lines, packing, rules, sharding, simhash, toxicity
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -205,6 +205,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
+def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that goes because a line like it comes before: its place, and the place of the line that stays."""
+    gone = lines.dropped(table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", F.col("place").alias("line_no"), "kept_doc", F.col("kept_place").alias("kept_line_no"))
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
@@ -213,5 +219,6 @@ QUERIES = {
     "op5_bagminhash": (near_duplicates, None),
     "op6_chat_segments": (chat_segments, CHAT_SQL),
     "op7_differencing": (packed_windows, None),
+    "op9_fuzzy_lines": (fuzzy_lines, None),
     "op10_simhash": (simhash_tables, None),
 }
