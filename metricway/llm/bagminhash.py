@@ -224,25 +224,43 @@ def linked(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
         found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) for every row: classes of texts linked by overlap, and the one row to keep.
-
-    Kept is the row of the least id; of rows with that id, the first.
-    """
+def placed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(row, doc_id, text_key, text_check, component): written, a row for each of the documents."""
     rows = signed(docs, id_col, text)
     same = ["text_key", "text_check"]
     nodes = written(rows.groupBy(*same).agg(F.min(F.struct("row", "doc_id", "weight", "bands")).alias("v"))
                     .select(*same, "v.row", F.col("v.doc_id").alias("node_doc"), "v.weight", "v.bands"))
     members = buckets(nodes)
-    wanted = (members.select("row").distinct().join(nodes.select("row", "node_doc", *same), "row"))
+    wanted = members.select("row").distinct().join(nodes.select("row", "node_doc", *same), "row")
     texts = docs.select(F.col(id_col).cast("long").alias("node_doc"), F.col(text).alias("text")).select(
         "node_doc", *keys("text"), "text")
     texts = written(texts.join(wanted, ["node_doc", *same]).select("row", "text").dropDuplicates(["row"]))
     found = linked(members, texts, similarity)
     named = nodes.select(*same, F.col("row").alias("node")).join(found, "node", "left").select(
         *same, F.coalesce("component", "node").alias("component"))
-    placed = written(rows.select("row", "doc_id", *same).join(named, same).select("row", "doc_id", "component"))
-    heads = placed.groupBy("component").agg(
-        F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
-    return placed.join(heads, "component").select(
-        "doc_id", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    return written(rows.select("row", "doc_id", *same).join(named, same).select("row", "doc_id", *same, "component"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, class_size, kept) for every row: classes of texts linked by overlap, and the one row to keep.
+
+    Kept is the row of the least id; of rows with that id, the first.
+    """
+    rows = placed(docs, id_col, text, similarity)
+    heads = rows.groupBy("component").agg(
+        F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
+    return rows.join(heads, "component").select(
+        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, one of each class: that of the least id, once even where rows repeat."""
+    rows = placed(docs, id_col, text, similarity)
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "text_check")).alias("v")).select(
+        F.col("v.doc_id").alias("_doc"), F.col("v.text_key").alias("_key"), F.col("v.text_check").alias("_check"))
+    key, check = keys(text)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.select(*own, F.col(id_col).cast("long").alias("_doc"), key.alias("_key"), check.alias("_check"))
+    return kept.join(first, (kept["_doc"].eqNullSafe(first["_doc"])) & kept["_key"].eqNullSafe(first["_key"])
+                     & kept["_check"].eqNullSafe(first["_check"]), "left_semi").dropDuplicates(
+                         ["_doc", "_key", "_check"]).select(*docs.columns)

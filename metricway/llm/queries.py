@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.llm import bagminhash, chat, language, lines, packing, rules, sharding, simhash, toxicity
+import corpus_pipeline
+from metricway.llm import bagminhash, chat, language, lines, mixing, packing, rules, sharding, simhash, toxicity
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -211,6 +212,44 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select("doc_id", F.col("place").alias("line_no"), "kept_doc", F.col("kept_place").alias("kept_line_no"))
 
 
+def raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the probability of its raked cell, and whether it is drawn."""
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return out.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "chosen")
+
+
+def _raked_mixture_sql() -> str:
+    topics = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in mixing.TOPICS)
+    steps, last = [], "start"
+    for r in range(mixing.ROUNDS):
+        for d in mixing.DIMENSIONS:
+            name = f"r{r}_{d}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (weight * {d}_target / sum(weight) OVER (PARTITION BY {d}) AS weight) "
+                         f"FROM {last})")
+            last = name
+        steps.append(f"r{r} AS MATERIALIZED (SELECT * REPLACE (least(weight, bound) AS weight) FROM {last})")
+        last = f"r{r}"
+    targets = "".join(
+        f", {d}_shares AS (SELECT {d}, raised / sum(raised) OVER () AS target FROM (SELECT {d}, "
+        f"pow(CAST(sum(tokens) AS DOUBLE), {mixing.TEMPERS[d]}) AS raised FROM cells GROUP BY {d}))" for d in mixing.DIMENSIONS)
+    columns = ", ".join(f"{d}_shares.target AS {d}_target" for d in mixing.DIMENSIONS)
+    joins = " ".join(f"JOIN {d}_shares ON cells.{d} IS NOT DISTINCT FROM {d}_shares.{d}" for d in mixing.DIMENSIONS)
+    same = " AND ".join(f"d.{x} IS NOT DISTINCT FROM p.{x}" for x in mixing.DIMENSIONS)
+    return f"""
+    WITH docs AS (
+      SELECT doc_id, source, lang, CASE {topics} ELSE '{mixing.PROSE}' END AS topic,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+      FROM documents),
+    cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM docs GROUP BY ALL){targets},
+    start AS (SELECT cells.source, cells.lang, cells.topic, tokens, CAST(tokens AS DOUBLE) AS weight,
+                     tokens / ({mixing.KEEP} * sum(tokens) OVER ()) AS bound, {columns} FROM cells {joins}),
+    {", ".join(steps)},
+    p AS (SELECT *, weight / bound AS probability FROM {last})
+    SELECT doc_id, d.topic, d.tokens, round(probability, 6) AS probability,
+           CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, {mixing.DIGITS}) AS BIGINT) / {float(16 ** mixing.DIGITS)} < probability AS chosen
+    FROM docs d JOIN p ON {same}"""
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
@@ -219,6 +258,8 @@ QUERIES = {
     "op5_bagminhash": (near_duplicates, None),
     "op6_chat_segments": (chat_segments, CHAT_SQL),
     "op7_differencing": (packed_windows, None),
+    "op8_raking": (raked_mixture, _raked_mixture_sql()),
     "op9_fuzzy_lines": (fuzzy_lines, None),
     "op10_simhash": (simhash_tables, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
