@@ -17,6 +17,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from collections import Counter
@@ -39,6 +40,7 @@ TRAINING_ROWS = 12_000
 ROUNDS = 3
 SMOOTH = 0.05
 BLOCK = 4_096
+LONG = 60  # letters; far from where a product of probabilities is rounded to 0
 KEPT_WORDS = 200_000
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -176,6 +178,55 @@ class Lattice:
         return out
 
 
+class Prefixes:
+    """The forward pass word by word: sums over all segmentations of a prefix are kept and serve all words that share it.
+
+    Sums are plain probabilities, so words of over LONG letters go to the lattice, which adds logarithms.
+    """
+
+    def __init__(self, lattice: Lattice, model: np.ndarray):
+        self.lattice, self.model = lattice, model
+        table = np.exp(model).T.tolist()
+        self.pieces = {p: table[i] for p, i in lattice.index.items()}
+        self.sums: dict[str, list[float]] = {}
+        self.known: dict[str, list[float]] = {}
+
+    def letter(self, c: str) -> list[float]:
+        """Of a letter that is no piece: the product over its byte pieces."""
+        ids = [self.lattice.by_byte[b] for b in c.encode() if b in self.lattice.by_byte]
+        out = self.pieces[c] = np.exp(self.model[:, ids].sum(axis=1)).tolist()
+        return out
+
+    def of(self, prefix: str) -> list[float]:
+        out = self.sums.get(prefix)
+        if out is None:
+            pieces, n = self.pieces, len(prefix)
+            last = pieces.get(prefix[-1]) or self.letter(prefix[-1])
+            out = [a * b for a, b in zip(self.of(prefix[:-1]), last)] if n > 1 else last
+            for k in range(2, min(n, LONGEST) + 1):
+                piece = pieces.get(prefix[n - k:])
+                if piece is not None:
+                    out = [x + a * b for x, a, b in zip(out, self.of(prefix[: n - k]), piece)] if k < n else [
+                        x + b for x, b in zip(out, piece)]
+            self.sums[prefix] = out
+        return out
+
+    def score(self, word: str) -> list[float]:
+        """Logarithms of the word's probabilities."""
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            if len(self.sums) >= 2 * KEPT_WORDS:
+                self.sums.clear()
+            if len(word) > LONG:
+                out = self.lattice.score([word], self.model)[0].tolist()
+            else:
+                out = [math.log(x) if x > 0 else -700.0 for x in self.of(START + word)]
+            self.known[word] = out
+        return out
+
+
 def sampled(rows: DataFrame, bound: int, id_col: str = "doc_id") -> DataFrame:
     """About `bound` rows by a hash of their id, or all if there are fewer."""
     n = rows.count()
@@ -247,16 +298,9 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, tex
     shipped = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, probabilities, known = Lattice(path), shipped.value.astype(np.float64), {}
+        known = Prefixes(Lattice(path), shipped.value.astype(np.float64)) if langs else None
         for batch in batches:
             counted = [Counter(words(body)) for body in batch.column(len(keep)).to_pylist()]
-            new = sorted({w for c in counted for w in c if w not in known}, key=len)
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = sorted({w for c in counted for w in c}, key=len)
-            for i in range(0, len(new), BLOCK):
-                block = new[i: i + BLOCK]
-                known.update(zip(block, lattice.score(block, probabilities)))
             preds, scores = [], []
             for seen in counted:
                 if not seen or not langs:
@@ -264,7 +308,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, tex
                     scores.append(0.0)
                     continue
                 times = np.fromiter(seen.values(), float, len(seen))
-                total = times @ np.array([known[w] for w in seen])
+                total = times @ np.array([known.score(w) for w in seen])
                 best = int(np.argmax(total))
                 preds.append(langs[best])
                 scores.append(float(1 / np.exp((total - total[best]) / max(1.0, np.sqrt(times.sum()))).sum()))
