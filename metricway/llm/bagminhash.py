@@ -7,10 +7,8 @@ thinned out. So a shingle of weight w costs log w processes, at least half the p
 the points below the lesser weight: a register's first point agrees with the probability of the weighted Jaccard. A process
 is followed only while its time is below the text's highest register.
 
-Texts that agree in a band of registers meet in a bucket. First every member of a bucket is checked against its least
-member; then, until nothing is left, members outside the bucket's largest component are checked against the
-members of other components, some of them a round. Pairs inside a component are never formed, so a group of copies costs
-its size, and no pair that meets in a bucket and could still join two components goes unchecked.
+Texts that agree in a band of registers meet in a bucket and are linked by the exact overlap of their multisets, as `linking`
+says: a group of copies costs its size, and no pair of a bucket that could join two components goes unmeasured.
 
 Defined cases: null and empty texts and texts without a word have no shingle and are alike only when equal; a text of
 under five words is one shingle; equal texts are one node whatever their number; rows with equal ids are rows of their own; a
@@ -27,18 +25,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricway.llm import linking
 from metricway.llm.common import written
-from metricway.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 is missed with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-STRAYS = 32  # members of a bucket that one round checks against the other components
 BLOCK = 300_000  # shingles whose processes are followed together
 KEPT_WORDS = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,65 +160,38 @@ def keys(text: str) -> list[Column]:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, row, weight, hub): written members of all buckets with at least two texts; the hub is the least row."""
-    members = written(nodes.select("row", "weight", F.explode("bands").alias("key")))
-    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("hub")).filter("n > 1")
-    return written(members.join(heads.select("key", "hub"), "key"))
+    """The members of all bands that two texts share."""
+    return linking.buckets(written(nodes.select(F.col("row").alias("id"), F.col("weight").alias("size"),
+                                                F.explode("bands").alias("key"))))
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets of shingles overlap enough, exactly counted."""
+    """(a, b, distance, linked) of pairs by the exact overlap of their multisets. texts: (row, text)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, one = Shingler(), None, None
         for batch in batches:
-            kept = []
+            distances, linked = [], []
             for a, body_a, body_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if a != last:
                     last, one = a, shingler(body_a)
                 other = shingler(body_b)
                 _, i, j = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
                 common = int(np.minimum(one[1][i], other[1][j]).sum())
-                kept.append(common >= similarity * (int(one[1].sum()) + int(other[1].sum()) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+                whole = int(one[1].sum()) + int(other[1].sum()) - common
+                distances.append(1 - common / max(whole, 1))
+                linked.append(common >= similarity * whole)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())],
+                                             ["a", "b", "distance", "linked"])
 
     with_b = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, distance double, linked boolean")
 
 
 def linked(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of all rows that are linked to another by a bucket and by the exact overlap."""
-    alike = F.least("weight_a", "weight_b") >= similarity * F.greatest("weight_a", "weight_b")
-    hubs = members.filter("row = hub").select("hub", F.col("weight").alias("weight_a")).distinct()
-    pairs = (members.filter("row <> hub").select("hub", "row", F.col("weight").alias("weight_b")).distinct()
-             .join(hubs, "hub").filter(alike).select(F.col("hub").alias("a"), F.col("row").alias("b")))
-    tried = written(pairs)
-    found = written(components(overlaps(tried, texts, similarity)))
-    while True:
-        placed = (members.join(found.withColumnRenamed("node", "row"), "row", "left")
-                  .withColumn("component", F.coalesce("component", "row")).select("key", "row", "weight", "component"))
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        spread = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
-        open_ = written(placed.join(spread.filter("parts > 1").select("key", F.col("most.component").alias("main")), "key"))
-        # Pairs of members outside the main component with all of other components; none is checked twice.
-        strays = written(open_.filter("component <> main").select(
-            "key", F.col("row").alias("a"), F.col("weight").alias("weight_a"), F.col("component").alias("component_a"),
-            F.row_number().over(Window.partitionBy("key").orderBy("row")).alias("turn")))
-        others = open_.select("key", F.col("row").alias("b"), F.col("weight").alias("weight_b"), "component")
-        most = strays.agg(F.max("turn")).first()[0] or 0
-        for start in range(0, most, STRAYS):
-            some = strays.filter((F.col("turn") > start) & (F.col("turn") <= start + STRAYS))
-            met = (some.join(others, "key").filter((F.col("component_a") != F.col("component")) & alike)
-                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-            fresh = written(met.join(tried, ["a", "b"], "left_anti"))
-            links = written(overlaps(fresh, texts, similarity))
-            tried = tried.unionByName(fresh)
-            if links.head() is not None:
-                break
-        else:
-            return found
-        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+    """(node, component) of all rows that a band and the exact overlap link to another."""
+    return linking.linked(members, lambda pairs: overlaps(pairs, texts, similarity), similarity)
 
 
 def placed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -231,7 +201,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similari
     nodes = written(rows.groupBy(*same).agg(F.min(F.struct("row", "doc_id", "weight", "bands")).alias("v"))
                     .select(*same, "v.row", F.col("v.doc_id").alias("node_doc"), "v.weight", "v.bands"))
     members = buckets(nodes)
-    wanted = members.select("row").distinct().join(nodes.select("row", "node_doc", *same), "row")
+    wanted = members.select(F.col("id").alias("row")).distinct().join(nodes.select("row", "node_doc", *same), "row")
     texts = docs.select(F.col(id_col).cast("long").alias("node_doc"), F.col(text).alias("text")).select(
         "node_doc", *keys("text"), "text")
     texts = written(texts.join(wanted, ["node_doc", *same]).select("row", "text").dropDuplicates(["row"]))

@@ -1,10 +1,10 @@
 """Connected components of links, as a distributed union-find: alternating star contractions.
 
 Each round points every node at the least node it knows, once over all its neighbours and once over the smaller ones,
-until the links no longer change. A node's least neighbour is a partial aggregate and goes back to the
+until every node points at the least of its component. A node's least neighbour is a partial aggregate and goes back to the
 links by a join that Spark can split, so a hub with a third of all links is no single task. Every round is a written
-table in the shared folder: nothing is recomputed when an executor is lost, and nothing but two
-numbers a round reaches the driver.
+table in the shared folder: nothing is recomputed when an executor is lost, and nothing but whether
+a node is left to move reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from metricway.llm.common import written
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node points at one root and no root points on: then a further round would change nothing."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("points")),
+                                          F.struct(F.col("b").alias("node"), F.lit(0).alias("points")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.points").alias("out"), F.min("e.points").alias("target"))
+    return nodes.filter("out > 1 OR (out = 1 AND target = 0)").head() is None
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -37,11 +41,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Self-links, repeated links and either direction are allowed; no links give no rows.
     """
-    now = written(links.select("a", "b").filter("a <> b").distinct())
-    before, state = None, _state(now)
-    while state != before:
-        wide = written(_large_star(now).filter("a <> b").distinct())
-        now = written(_small_star(wide).filter("a <> b").distinct())
-        before, state = state, _state(now)
+    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while not _settled(now):
+        now = written(_small_star(written(_large_star(now).filter("a <> b").distinct())).filter("a <> b").distinct())
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

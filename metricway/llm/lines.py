@@ -6,9 +6,8 @@ order counts. Signature: the shingles' hashes in order fall in BINS ranges, and
 Two lines at Jaccard j agree in a range with about j ** LEAST, and in none with (1 - j ** LEAST) ** BINS: 4e-5 at 0.8;
 lines with few shingles agree more often. Lines that meet in a band are checked by the exact Jaccard of their shingles.
 
-Equal lines are one line before anything meets. In a bucket every line is checked against the least line first; lines
-outside the bucket's largest component are then checked against other components until none is left, as in
-`bagminhash`. All of it is DataFrame functions. Lines travel as numbers; only those that share a band are read again.
+Equal lines are one line before anything meets; lines of a band are linked as `linking` says. All of it is DataFrame
+functions. Lines travel as numbers; only those that share a band are read again.
 
 Defined cases: a line without a word is kept as it is, and so is a null text; of a component the first line by id and
 place stays; repeated rows are documents of their own, and their order is that of their place in the input; an empty
@@ -17,16 +16,15 @@ table gives an empty result; all columns are kept, and `n_chars` is counted anew
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricway.llm import linking
 from metricway.llm.common import written
-from metricway.llm.components import components
 
 SHINGLE = 12
 SIMILARITY = 0.8
 BINS, LEAST = 10, 2
-STRAYS = 32
 SPACE = "\\x20\\x09-\\x0D"
 ALONE = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
 STARTS = f"(?=((?:(?<![^{SPACE}])[^{SPACE}]|[{ALONE}]).{{0,{SHINGLE - 1}}}))"
@@ -88,51 +86,24 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """(key, id, n, hub): written members of all bands that two lines share; the hub is the least id."""
-    members = lines.select("id", "n", F.explode("keys").alias("key"))
-    heads = members.groupBy("key").agg(F.count("*").alias("met"), F.min("id").alias("hub")).filter("met > 1")
-    return written(members.join(heads.select("key", "hub"), "key"))
+    """The members of all bands that two lines share."""
+    return linking.buckets(lines.select("id", F.col("n").alias("size"), F.explode("keys").alias("key")))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard. sets: (id, shingles)."""
+    """(a, b, distance, linked) of pairs by the exact Jaccard of their shingles. sets: (id, shingles)."""
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("own_b")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own_a")), "a"))
-    common = F.size(F.array_intersect("own_a", "own_b"))
-    return (both.select("a", "b", F.size("own_a").alias("na"), F.size("own_b").alias("nb"), common.alias("common"))
-            .filter(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
+    both = both.select("a", "b", (F.size("own_a") + F.size("own_b")).alias("sizes"),
+                       F.size(F.array_intersect("own_a", "own_b")).alias("common"))
+    whole = F.col("sizes") - F.col("common")
+    return both.select("a", "b", (1 - F.col("common") / F.greatest(whole, F.lit(1))).alias("distance"),
+                       (F.col("common") >= similarity * whole).alias("linked"))
 
 
 def linked(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of all lines that a band and the exact Jaccard link to another."""
-    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    hubs = members.filter("id = hub").select("hub", F.col("n").alias("n_a")).distinct()
-    tried = written(members.filter("id <> hub").select("hub", "id", F.col("n").alias("n_b")).distinct()
-                    .join(hubs, "hub").filter(near).select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    found = written(components(alike(tried, sets, similarity)))
-    while True:
-        placed = (members.join(found.withColumnRenamed("node", "id"), "id", "left")
-                  .withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component"))
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("met"))
-        spread = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("met", "component")).alias("most"))
-        open_ = written(placed.join(spread.filter("parts > 1").select("key", F.col("most.component").alias("main")), "key"))
-        strays = written(open_.filter("component <> main").select(
-            "key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"),
-            F.row_number().over(Window.partitionBy("key").orderBy("id")).alias("turn")))
-        others = open_.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), "component")
-        most = strays.agg(F.max("turn")).first()[0] or 0
-        for start in range(0, most, STRAYS):
-            some = strays.filter((F.col("turn") > start) & (F.col("turn") <= start + STRAYS))
-            met = (some.join(others, "key").filter((F.col("component_a") != F.col("component")) & near)
-                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-            fresh = written(met.join(tried, ["a", "b"], "left_anti"))
-            links = written(alike(fresh, sets, similarity))
-            tried = tried.unionByName(fresh)
-            if links.head() is not None:
-                break
-        else:
-            return found
-        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+    return linking.linked(members, lambda pairs: alike(pairs, sets, similarity), similarity)
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

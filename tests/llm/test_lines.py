@@ -83,7 +83,7 @@ def test_repeated_rows_and_empty(spark):
 
 def test_a_band_with_several_groups_is_searched_through(spark):
     sets = {i: [f"g{i % 40}s{k}" for k in range(20)] for i in range(80)}
-    members = spark.createDataFrame([(9, i, 20, 0) for i in sets], "key long, id long, n int, hub long")
+    members = spark.createDataFrame([(9, i, 20, 0) for i in sets], "key long, id long, size int, hub long")
     frame = spark.createDataFrame(list(sets.items()), "id long, shingles array<string>")
     found = {r.node: r.component for r in lines.linked(members, frame).collect()}
     assert found == {i: i % 40 for i in sets}
