@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from metricway.operators.search import _unit, nearest, query_blocks
 
-# Exact search below this many rows; training rows per cell; recall slack.
-MIN_ROWS = 100_000
+# Training rows per cell; cells probed; recall slack.
 TRAIN_PER_CELL = 64
 DEFAULT_PROBES = 20
 ROW_GROUP = 8 << 20  # bytes
@@ -76,15 +75,6 @@ class CellIndex:
         return nearest(rows, queries, k, self.doc, self.vector, query, query_vector, where, "cell", near)
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, min_rows: int = MIN_ROWS, **options) -> DataFrame:
-    """Exact below `min_rows`, through cells from there on."""
-    if corpus.count() < min_rows:
-        options.pop("probes", None)
-        return nearest(corpus, queries, k, **options)
-    index = CellIndex.build(corpus, options.pop("doc", "doc_id"), options.pop("vector", "vector"))
-    return index.search(queries, k, **options)
-
-
 def refined(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
             vector: str = "vector", query: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """The candidates of a coarse search scored again exactly, the best k kept."""
@@ -97,7 +87,8 @@ def refined(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
                            lambda s, x: s + x)
 
-    score = dot(vector, query_vector) / F.sqrt(dot(vector, vector) * dot(query_vector, query_vector))
+    norms = F.sqrt(dot(vector, vector) * dot(query_vector, query_vector))
+    score = F.coalesce(F.try_divide(dot(vector, query_vector), norms), F.lit(0.0))  # a zero vector is like nothing
     return ranked(rows.select(query, doc, F.round(score, SCORE_DIGITS).alias("score")), k, query, doc)
 
 

@@ -46,8 +46,8 @@ def embed_new(docs: DataFrame, store: DataFrame, model_name: str, embed: Callabl
     text hash and model all agree; each remaining distinct text is embedded once."""
     hashed = docs.withColumn("content_hash", content_hash(F.col("text"))).withColumn(
         "embedding_model", F.lit(model_name))
-    known = store.select("call_id", "content_hash", "embedding_model", "vector")
     on = ["call_id", "content_hash", "embedding_model"]
+    known = store.select(*on, "vector").filter("vector IS NOT NULL").dropDuplicates(on)
     kept = hashed.join(known, on)
     rest = hashed.join(known, on, "left_anti")
     fresh = rest.dropDuplicates(["content_hash"]).select("content_hash", embed(F.col("text")).alias("vector"))

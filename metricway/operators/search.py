@@ -7,10 +7,12 @@ postings of the queried terms only.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from metricway.functions.where import filtered
 from metricway.operators.evidence import MAX_QUOTE, MIN_QUOTE
 from metricway.session import sized, spread, written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 # Fusion constant, BM25 parameters, default blend, token pattern.
 RRF_K = 60
 K1, B = 1.2, 0.75
@@ -66,7 +70,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
     With `cell` and `probes` ({query id: cells}), a query sees only the rows of its cells.
     """
     columns = [doc, vector] + ([cell] if cell else [])
-    rows = filtered(corpus, where).select(*columns)
+    rows = filtered(corpus, where).select(*columns).filter(F.col(vector).isNotNull())  # no vector: never a hit
     spark = corpus.sparkSession
     doc_type = dict(corpus.dtypes)[doc]
     query_type = dict(queries.dtypes)[query]
@@ -123,13 +127,13 @@ def cosine(vector: Column, query: list[float]) -> Column:
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), zero, lambda s, v: s + v)
 
-    return dot(vector, q) / F.sqrt(dot(vector, vector))
+    return F.coalesce(F.try_divide(dot(vector, q), F.sqrt(dot(vector, vector))), F.lit(0.0))
 
 
 def search_one(corpus: DataFrame, query: list[float], k: int, doc: str = "doc_id", vector: str = "vector",
                where: dict | None = None) -> DataFrame:
     """The k nearest of one query: a filter, an expression, and Spark's own top-k."""
-    return filtered(corpus, where).select("*", F.round(cosine(F.col(vector), query), SCORE_DIGITS).alias(
+    return filtered(corpus, where).filter(F.col(vector).isNotNull()).select("*", F.round(cosine(F.col(vector), query), SCORE_DIGITS).alias(
         "score")).orderBy(F.desc("score"), doc).limit(k)
 
 

@@ -15,7 +15,10 @@ KEEP_SEEDS = 10
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace old rows of the same key; the others stay."""
+    """New rows replace old rows of the same key; the others stay. A key repeated in the new rows is stored once:
+    its greatest row, whatever the order of the input."""
+    new = new.groupBy(*key).agg(F.max(F.struct(*(c for c in new.columns if c not in key))).alias("_r")).select(
+        *key, "_r.*").select(*new.columns) if set(new.columns) != set(key) else new.distinct()
     return new.unionByName(old.join(new.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
@@ -40,8 +43,15 @@ def ingest(store: DataFrame, batch: DataFrame, key: str = "call_id", seq: str =
 
 
 def set_scores(docs: DataFrame, surveys: DataFrame) -> DataFrame:
-    """Survey columns of every row replaced: the batch's score, or NULL without a survey."""
-    fresh = surveys.select("call_id", "csat_score", "surveyed_at")
+    """Survey columns of every row replaced: the score of the call's last survey, or NULL without a survey.
+
+    A score off the scale fails the job: nothing of the batch is stored.
+    """
+    refused = F.col("csat_score").isNotNull() & ~F.col("csat_score").between(1, 5)
+    score = F.when(refused, F.raise_error(F.concat(F.lit("score off the scale: "), F.col("csat_score")))).otherwise(
+        F.col("csat_score"))
+    fresh = surveys.select("call_id", score.alias("csat_score"), "surveyed_at").groupBy("call_id").agg(
+        F.max(F.struct("surveyed_at", "csat_score")).alias("_s")).select("call_id", "_s.csat_score", "_s.surveyed_at")
     return docs.drop("csat_score", "surveyed_at").join(fresh, "call_id", "left")
 
 

@@ -102,7 +102,6 @@ def test_cells_exact_when_all_are_probed_and_stored(spark, folder):
     few = index.search(q, 6, probes=3)
     recall = ann.ann_recall(few, S.nearest(corpus, q, 6), corpus.agg(F.count("*").alias("n")), 6)
     assert 0.3 < recall.agg(F.avg("recall")).first()[0] <= 1.0
-    assert ann.search(corpus, q, 6).count() == 30
 
 
 @pytest.mark.parametrize("where, n", [
