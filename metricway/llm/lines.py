@@ -1,7 +1,7 @@
 """Fuzzy line dedup: shingle signatures of lines, bands, exact Jaccard, union-find, one line of a component stays.
 
 A line's shingles are character strings of up to SHINGLE code points. One starts at every word, so that the work
-follows the words; scripts without spaces start one at every character. A shingle runs over the words after it, so
+follows the words; in scripts without spaces one starts at every character. A shingle runs over the words after it, so
 order counts. Signature: the shingles' hashes in order fall in BINS ranges, and the LEAST least hashes of a range are one band.
 Two lines at Jaccard j agree in a range with about j ** LEAST, and in none with (1 - j ** LEAST) ** BINS: 4e-5 at 0.8;
 lines with few shingles agree more often. Lines that meet in a band are checked by the exact Jaccard of their shingles.
@@ -26,8 +26,10 @@ SHINGLE = 12
 SIMILARITY = 0.8
 BINS, LEAST = 10, 2
 SPACE = "\\x20\\x09-\\x0D"
-ALONE = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
-STARTS = f"(?=((?:(?<![^{SPACE}])[^{SPACE}]|[{ALONE}]).{{0,{SHINGLE - 1}}}))"
+# Blocks of scripts that put no spaces between words (south-east Asian, kana, Han).
+ALONE = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{3FFFF}"
+#: a shingle is looked at, then its word (or single character) and the space behind it are passed over
+STARTS = f"(?s)(?=(.{{1,{SHINGLE}}}))(?:[{ALONE}]|[^{SPACE}{ALONE}]+)[{SPACE}]*"
 
 
 def shingles(line: Column) -> Column:

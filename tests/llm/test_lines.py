@@ -9,7 +9,7 @@ pytest.importorskip("metricway.llm")
 
 from metricway.llm import lines  # noqa: E402
 
-STARTS = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]|[一-鿿]")
+STARTS = re.compile(r"[一-鿿]|[^\x20\x09-\x0D一-鿿]+")
 
 
 def shingle_set(line):
