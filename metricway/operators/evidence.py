@@ -101,22 +101,26 @@ def unsupported(source: Column, calls_read: Column, items: Column) -> Column:
     return (source == "detected") & (calls_read > 0) & (items == 0)
 
 
-def patterns(groups: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Items shared by two or more calls of a group: n of the calls read.
+def patterns(groups: DataFrame, assigned: DataFrame, cap: int | None = None) -> DataFrame:
+    """Items shared by two or more calls of a group: n of the calls read, which are all unless `cap` says fewer.
 
-    `groups` has label, call_id; `assigned` has call_id, number, quote.
+    `groups` has label, call_id; `assigned` has call_id, number, quote. Citations are those of the lowest hashes,
+    picked by rank, so that no list holds more than MAX_CITATIONS.
     """
     members = groups.dropDuplicates(["label", "call_id"])
-    read = hash_sample(members, by="label")
+    read = hash_sample(members, by="label", cap=cap) if cap else members.withColumn("hash", F.sha2(F.col("call_id"), 256))
     of = read.groupBy("label").agg(F.count("*").alias("of"))
-    found = read.join(assigned.select("call_id", "number", "quote"), "call_id").groupBy(
-        "label", "number").agg(
-            F.count("*").alias("n"),
-            F.slice(F.array_sort(F.collect_list(F.when(
-                F.col("quote").isNotNull(), F.struct("hash", "call_id", "quote")))), 1,
-                MAX_CITATIONS).alias("citations"))
-    return found.filter(F.col("n") >= MIN_PATTERN_CALLS).join(of, "label").filter(
-        F.col("of") >= 2).orderBy(F.desc("n"), "label", "number")
+    shared = read.join(assigned.select("call_id", "number", "quote"), "call_id")
+    found = shared.groupBy("label", "number").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PATTERN_CALLS)
+    best = Window.partitionBy("label", "number").orderBy("hash", "call_id")
+    cited = shared.filter(F.col("quote").isNotNull()).withColumn("best", F.row_number().over(best)).filter(
+        F.col("best") <= MAX_CITATIONS)
+    cited = cited.groupBy("label", "number").agg(F.array_sort(F.collect_list(F.struct("hash", "call_id", "quote"))).alias(
+        "citations"))
+    none = F.array().cast(dict(cited.dtypes)["citations"])
+    return found.join(cited, ["label", "number"], "left").withColumn("citations", F.coalesce("citations", none)).join(
+        of, "label").filter(F.col("of") >= 2).orderBy(F.desc("n"), "label", "number")
+
 
 
 def grounded_citations(citations: DataFrame, calls: DataFrame, windows: DataFrame) -> DataFrame:

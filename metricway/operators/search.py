@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from metricway.functions.text import squeeze
 from metricway.functions.where import filtered
-from metricway.operators.evidence import MAX_QUOTE, MIN_QUOTE
 from metricway.session import sized, spread, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
@@ -303,14 +302,13 @@ def _direct_pairs(quotes: DataFrame, body: DataFrame) -> DataFrame:
 
 
 def quote_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id) where the quote (12 to 300 characters) stands in the text.
+    """(item_id, doc_id) where the quote, of any length but 0, stands in the text.
 
     A quote's inner words are whole words of any text that holds it, so quotes meet texts in a
     join on the hash of three inner words, or of the longest inner word of a short quote; the
     matches are then compared in full. Only quotes without an inner word are compared directly.
     """
-    ready = quotes.select("item_id", squeeze(F.col("quote")).alias("quote")).filter(
-        F.length("quote").between(MIN_QUOTE, MAX_QUOTE))
+    ready = quotes.select("item_id", squeeze(F.col("quote")).alias("quote")).filter("quote <> ''")
     words = F.split("quote", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]

@@ -443,11 +443,11 @@ QUERIES = {
         SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM (
             SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark) b
         JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) d ON contains(t, q)
-        WHERE length(q) BETWEEN 12 AND 300 GROUP BY 1"""),
+        WHERE q <> '' GROUP BY 1"""),
     "change_coaching_patterns": (coaching, check("""
         WITH g AS (SELECT category || '/' || year(day) AS label, call_id, seconds % 7 AS number,
                 CASE WHEN seconds % 2 = 0 THEN 1 END AS quoted, sha256(call_id) AS h FROM call_log),
-        s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS r FROM g QUALIFY r <= 200),
+        s AS (SELECT * FROM g),
         c AS (SELECT label, number, call_id, row_number() OVER (PARTITION BY label, number ORDER BY h) AS r FROM s
               WHERE quoted = 1),
         a AS (SELECT label, number, count(*) AS n FROM s WHERE number BETWEEN 1 AND 3 GROUP BY 1, 2 HAVING count(*) >= 2)

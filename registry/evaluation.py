@@ -45,7 +45,7 @@ def text_scores(spark, sf):
 
 _HELD = """held AS (SELECT item_id AS query_id, doc_id FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark) b
         JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) d ON contains(t, q)
-        WHERE length(q) BETWEEN 12 AND 300)"""
+        WHERE q <> '')"""
 
 # ── percentiles ───────────────────────────────────────────────────────────────
 

@@ -131,7 +131,8 @@ def test_quote_pairs_against_brute_force(spark, sf, monkeypatch):
     docs = {r.doc_id: " ".join(r.text.split()) for r in t["documents"].collect()}
     quotes = [(i, " ".join(x.split())) for i, x in [
         (0, docs[3][5:60]), (1, docs[4][:12]), (2, docs[5][7:30]), (3, "thisisnotawordatall"), (4, docs[6][2:16]), (5, docs[7][10:290])]]
-    quotes = [(i, q) for i, q in quotes if 12 <= len(q) <= 300]
+    quotes += [(6, docs[8][3:900]), (7, docs[9][4:9])]
+    quotes = [(i, q.strip()) for i, q in quotes]
     want = sorted((i, d) for i, q in quotes for d, x in docs.items() if q in x)
     given = spark.createDataFrame(quotes, "item_id int, quote string")
     for block in (S.QUERY_BLOCK, 1):
