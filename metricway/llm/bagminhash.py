@@ -36,8 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no cop
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 is missed with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-BLOCK = 300_000  # shingles whose processes are followed together
-KEPT_WORDS = 500_000
+BLOCK = 200_000  # shingles whose processes are followed together
+KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
