@@ -116,7 +116,9 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     # Lines that share a band are read again: the texts of their documents are exchanged once, by id, with the places asked for.
     places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "line_key", "line_check", "id")).alias("asked"))
     again = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(places, "doc_id")
-    again = again.select(F.split("text", "\\n", -1).alias("own"), F.explode("asked").alias("p"))
+    # The lines of a text pass through an explode of their own: else the text would be split once for every place.
+    again = again.select(F.explode(F.array(F.struct(F.split("text", "\\n", -1).alias("own"), "asked"))).alias("d"))
+    again = again.select("d.own", F.explode("d.asked").alias("p"))
     again = again.select("p", F.get("own", F.col("p.place")).alias("line")).filter("line IS NOT NULL")
     key, check = identity(F.col("line"))
     again = again.filter((key == F.col("p.line_key")) & (check == F.col("p.line_check")))  # rows may share an id
