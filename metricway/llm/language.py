@@ -17,7 +17,6 @@ other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 import sys
 from collections import Counter
@@ -40,8 +39,8 @@ TRAINING_ROWS = 12_000
 ROUNDS = 3
 SMOOTH = 0.05
 BLOCK = 4_096
-LONG = 60  # letters; far from where a product of probabilities is rounded to 0
-KEPT_WORDS = 200_000
+LONG = 20  # letters; far from where a product of probabilities is rounded to 0
+KEPT_PREFIXES = 600_000
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -179,52 +178,75 @@ class Lattice:
 
 
 class Prefixes:
-    """The forward pass word by word: sums over all segmentations of a prefix are kept and serve all words that share it.
+    """The forward pass over words that share prefixes: the sums over all segmentations of a prefix are kept.
 
-    Sums are plain probabilities, so words of over LONG letters go to the lattice, which adds logarithms.
+    New prefixes of a batch are summed together, by length. Sums are plain probabilities, so words of over LONG letters
+    go to the lattice, which adds logarithms.
     """
 
     def __init__(self, lattice: Lattice, model: np.ndarray):
         self.lattice, self.model = lattice, model
-        table = np.exp(model).T.tolist()
-        self.pieces = {p: table[i] for p, i in lattice.index.items()}
-        self.sums: dict[str, list[float]] = {}
-        self.known: dict[str, list[float]] = {}
-
-    def letter(self, c: str) -> list[float]:
-        """Of a letter that is no piece: the product over its byte pieces."""
+        # Endings of pieces that are none themselves have -1: where no piece has an ending, no longer one need be looked up.
+        self.index = {p[k:]: -1 for p in lattice.index for k in range(1, len(p))} | lattice.index
+        self.table = np.exp(model).T.copy()
+        self.clear()
+
+    def clear(self) -> None:
+        self.place = {"": 0}
+        self.sums = np.ones((1, self.model.shape[0]))
+        self.long: dict[str, np.ndarray] = {}
+
+    def letter(self, c: str) -> int:
+        """A row for a letter that is no piece: the product over its byte pieces."""
         ids = [self.lattice.by_byte[b] for b in c.encode() if b in self.lattice.by_byte]
-        out = self.pieces[c] = np.exp(self.model[:, ids].sum(axis=1)).tolist()
-        return out
-
-    def of(self, prefix: str) -> list[float]:
-        out = self.sums.get(prefix)
-        if out is None:
-            pieces, n = self.pieces, len(prefix)
-            last = pieces.get(prefix[-1]) or self.letter(prefix[-1])
-            out = [a * b for a, b in zip(self.of(prefix[:-1]), last)] if n > 1 else last
-            for k in range(2, min(n, LONGEST) + 1):
-                piece = pieces.get(prefix[n - k:])
-                if piece is not None:
-                    out = [x + a * b for x, a, b in zip(out, self.of(prefix[: n - k]), piece)] if k < n else [
-                        x + b for x, b in zip(out, piece)]
-            self.sums[prefix] = out
-        return out
-
-    def score(self, word: str) -> list[float]:
-        """Logarithms of the word's probabilities."""
-        out = self.known.get(word)
-        if out is None:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            if len(self.sums) >= 2 * KEPT_WORDS:
-                self.sums.clear()
+        self.table = np.vstack([self.table, np.exp(self.model[:, ids].sum(axis=1))])
+        self.index[c] = len(self.table) - 1
+        return self.index[c]
+
+    def learn(self, block: list[str]) -> None:
+        """Sums for all prefixes of the words."""
+        if len(self.place) + len(self.long) > KEPT_PREFIXES:
+            self.clear()
+        place, index, fresh = self.place, self.index, {}
+        for word in block:
             if len(word) > LONG:
-                out = self.lattice.score([word], self.model)[0].tolist()
-            else:
-                out = [math.log(x) if x > 0 else -700.0 for x in self.of(START + word)]
-            self.known[word] = out
-        return out
+                if word not in self.long:
+                    self.long[word] = self.lattice.score([word], self.model)[0]
+                continue
+            marked = START + word
+            for n in range(len(marked), 0, -1):
+                prefix = marked[:n]
+                if prefix in place:
+                    break
+                place[prefix] = len(place)
+                fresh.setdefault(n, []).append(prefix)
+        self.sums = np.vstack([self.sums, np.zeros((len(place) - len(self.sums), self.sums.shape[1]))])
+        for n in sorted(fresh):
+            starts, before, piece = [], [], []
+            for prefix in fresh[n]:
+                starts.append(len(piece))
+                last = index.get(prefix[-1], -1)
+                piece.append(self.letter(prefix[-1]) if last < 0 else last)
+                before.append(place[prefix[:-1]])
+                for k in range(2, min(n, LONGEST) + 1):
+                    own = index.get(prefix[n - k:])
+                    if own is None:
+                        break
+                    if own >= 0:
+                        piece.append(own)
+                        before.append(place[prefix[: n - k]])
+            self.sums[[place[p] for p in fresh[n]]] = np.add.reduceat(self.sums[before] * self.table[piece], starts, axis=0)
+
+    def score(self, block: list[str]) -> np.ndarray:
+        """(words, languages) logarithms of the probabilities of words that were learnt."""
+        place = self.place
+        with np.errstate(divide="ignore"):
+            out = np.log(self.sums[[place.get(START + w, 0) for w in block]])
+        if self.long:
+            for i, w in enumerate(block):
+                if len(w) > LONG:
+                    out[i] = self.long[w]
+        return np.maximum(out, -1e4)
 
 
 def sampled(rows: DataFrame, bound: int, id_col: str = "doc_id") -> DataFrame:
@@ -301,6 +323,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, tex
         known = Prefixes(Lattice(path), shipped.value.astype(np.float64)) if langs else None
         for batch in batches:
             counted = [Counter(words(body)) for body in batch.column(len(keep)).to_pylist()]
+            if known:
+                known.learn(list(set().union(*counted)))
             preds, scores = [], []
             for seen in counted:
                 if not seen or not langs:
@@ -308,7 +332,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, tex
                     scores.append(0.0)
                     continue
                 times = np.fromiter(seen.values(), float, len(seen))
-                total = times @ np.array([known.score(w) for w in seen])
+                total = times @ known.score(list(seen))
                 best = int(np.argmax(total))
                 preds.append(langs[best])
                 scores.append(float(1 / np.exp((total - total[best]) / max(1.0, np.sqrt(times.sum()))).sum()))
