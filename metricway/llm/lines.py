@@ -16,13 +16,15 @@ table gives an empty result; all columns are kept, and `n_chars` is counted anew
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricway.llm import linking
 from metricway.llm.common import written
 
-SHINGLE = 12
+SHINGLE = 5
 SIMILARITY = 0.8
 RANGE_BITS = 4  # hashes fall in 2 ** RANGE_BITS ranges
 FEW = 2 << RANGE_BITS  # hashes that each have a band
@@ -94,10 +96,15 @@ def buckets(lines: DataFrame) -> DataFrame:
     return linking.buckets(lines.select("id", F.col("n").alias("size"), F.explode("keys").alias("key")))
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, distance, linked) of pairs by the exact Jaccard of their shingles. sets: (id, shingles as hashes)."""
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float, own: Callable[[Column], Column] = F.array_distinct) -> DataFrame:
+    """(a, b, distance, linked) of pairs by the exact Jaccard of their shingles.
+
+    sets: (id, shingles), shingles being what `own` makes the set of. Lines travel as texts and are cut after the join: hashes of
+    all their shingles are eight times as long.
+    """
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("own_b")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own_a")), "a"))
+    both = both.select("a", "b", own(F.col("own_a")).alias("own_a"), own(F.col("own_b")).alias("own_b"))
     both = both.select("a", "b", (F.size("own_a") + F.size("own_b")).alias("sizes"),
                        F.size(F.array_intersect("own_a", "own_b")).alias("common"))
     whole = F.col("sizes") - F.col("common")
@@ -105,9 +112,10 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                        (F.col("common") >= similarity * whole).alias("linked"))
 
 
-def linked(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def linked(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY,
+           own: Callable[[Column], Column] = F.array_distinct) -> DataFrame:
     """(node, component) of all lines that a band and the exact Jaccard link to another."""
-    return linking.linked(members, lambda pairs: alike(pairs, sets, similarity), similarity)
+    return linking.linked(members, lambda pairs: alike(pairs, sets, similarity, own), similarity)
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -125,8 +133,8 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     again = again.select("p", F.get("own", F.col("p.place")).alias("line")).filter("line IS NOT NULL")
     key, check = identity(F.col("line"))
     again = again.filter((key == F.col("p.line_key")) & (check == F.col("p.line_check")))  # rows may share an id
-    sets = written(again.select(F.col("p.id").alias("id"), hashed(shingles(F.col("line"))).alias("shingles")).dropDuplicates(["id"]))
-    found = linked(members, sets, similarity)
+    sets = written(again.select(F.col("p.id").alias("id"), F.col("line").alias("shingles")).dropDuplicates(["id"]))
+    found = linked(members, sets, similarity, lambda line: hashed(shingles(line)))
     named = written(lines.select("id", "line_key", "line_check", *same)
                     .join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     first = named.groupBy("component").agg(F.min(F.struct(*same)).alias("first"))
