@@ -72,13 +72,15 @@ def band_keys(hashes: Column) -> Column:
         F.xxhash64(x["a"], x["b"], x["c"], x["d"]))))
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(occurrences, lines), both written.
 
-    occurrences: (doc_id, row, place, line_key, line_check), row being the document's place in the input's partitions;
+    occurrences: (doc_id, row, place, line_key, line_check), row being the document's number in the column `row`, or else
+    its place in the input's partitions, which holds for one scan only;
     lines: (id, line_key, line_check, doc_id, row, place, n, keys), the first occurrence of each distinct line with a word.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("doc_id"), number.alias("row"), F.col(text).alias("text"))
     parts = line_rows(rows).filter(F.col("line").rlike(f"[^{SPACE}]"))
     parts = parts.select("doc_id", "row", "place", *identity(F.col("line")), hashed(shingles(F.col("line"))).alias("hashes"))
     parts = parts.select("doc_id", "row", "place", "line_key", "line_check", F.size("hashes").alias("n"),
@@ -118,9 +120,10 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY,
     return linking.linked(members, lambda pairs: alike(pairs, sets, similarity, own), similarity)
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+            row: str | None = None) -> DataFrame:
     """(doc_id, row, place, kept_doc, kept_place): every occurrence that goes, and the line that stays for it."""
-    occurrences, lines = signed(docs, id_col, text)
+    occurrences, lines = signed(docs, id_col, text, row)
     members = buckets(lines)
     same = ["doc_id", "row", "place"]
     wanted = members.select("id").distinct().join(lines.select("id", "line_key", "line_check", "doc_id", "place"), "id")
@@ -147,12 +150,15 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the lines that go; a document that loses every line keeps an empty text.
 
-    docs must be a stored table: its rows are read three times, in the same partitions.
+    The documents are written once with their row numbers: those of another scan could differ, as its partitions can.
     """
-    gone = (dropped(docs, id_col, text, similarity).groupBy("row")
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()))
+    gone = (dropped(rows, id_col, text, similarity, number).groupBy(F.col("row").alias(number))
             .agg(F.collect_set("place").alias("gone")))  # at most the lines of one document
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = rows.join(gone.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+    kept = rows.join(gone, number, "left")
     rest = F.array_join(F.transform(F.filter(
         F.transform(F.split(text, "\\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
         lambda p: ~F.array_contains("gone", p["i"])), lambda p: p["x"]), "\n")

@@ -72,3 +72,17 @@ def test_against_brute_force_at_every_code_point(spark):
         rows.append((i, "\n".join(own)))
     expected = brute(rows)
     assert expected and gone(spark, rows) == expected
+
+
+def test_another_split_of_the_scan_changes_nothing(spark, folder):
+    """The partitions of a scan depend on the cores there are when it is planned."""
+    rows = [(i, f"own line {chr(97 + i) * 40}\none and the same line here") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(f"{folder}/docs")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "8")
+        out = lines.deduplicated(spark.read.parquet(f"{folder}/docs"))
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got = {r.doc_id: r.text for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
