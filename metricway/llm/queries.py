@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from metricway.llm import bagminhash, chat, language, lines, mixing, packing, rules, sharding, simhash, toxicity
+from metricway.llm import bagminhash, chat, language, lines, mixing, packing, repair, rules, sharding, simhash, toxicity
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -250,6 +250,29 @@ def _raked_mixture_sql() -> str:
     FROM docs d JOIN p ON {same}"""
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or of another role, by the CRC-32 of `conv_id:turn`."""
+    spaced = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    rows = rows.select("conv_id", "turn", spaced[2].alias("role"), spaced[3].alias("text"), F.pmod(
+        F.crc32(F.concat(spaced[0], F.lit(":"), spaced[1])), F.lit(20)).alias("kind")).filter("kind <> 0")
+    text = (F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+            .otherwise(F.col("text")))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+                       text.alias("text"), F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1)))
+                                                     .otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def weighted_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.report(repair.numbered(damaged(rows))).withColumnRenamed("conv_id", "conv")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
@@ -261,5 +284,6 @@ QUERIES = {
     "op8_raking": (raked_mixture, _raked_mixture_sql()),
     "op9_fuzzy_lines": (fuzzy_lines, None),
     "op10_simhash": (simhash_tables, None),
+    "op11_weighted_repair": (weighted_repair, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
