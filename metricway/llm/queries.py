@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from metricway.llm import bagminhash, chat, language, lines, mixing, packing, repair, rules, sharding, simhash, toxicity
+from metricway.llm import bagminhash, chat, language, lines, mixing, packing, repair, rules, runs, sharding, simhash, toxicity
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -273,6 +273,36 @@ def weighted_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by the CRC-32 of the id, words from some place on repeat with a period."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    worded = docs.select("doc_id", "text", crc.alias("h"), F.floor(crc / 10).alias("g"), F.when(
+        crc % 10 == 0, rules.words_of(F.col("text"))).alias("words"))
+    size = F.size("words").cast("long")
+    first = F.pmod(F.col("g"), size)
+    placed = worded.withColumn("a", F.when(size > 0, first)).withColumn(
+        "p", F.when(size > 0, 1 + F.floor((size - F.col("a")) / (3 + F.pmod(F.col("g"), F.lit(8))))))
+    repeated = F.transform("words", lambda _, i: F.element_at("words", F.when(i < F.col("a"), i + 1).otherwise(
+        F.col("a") + F.pmod(i - F.col("a"), F.col("p")) + 1).cast("int")))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(
+        F.col("text")).alias("text"))
+
+
+def automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, and the digest of its text without repetitions."""
+    out = runs.with_runs(periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    return out.select("doc_id", "runs", "collapsed", best.alias("best"), listed.alias("listed")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.n")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * (-best.n) DIV best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
@@ -285,5 +315,6 @@ QUERIES = {
     "op9_fuzzy_lines": (fuzzy_lines, None),
     "op10_simhash": (simhash_tables, None),
     "op11_weighted_repair": (weighted_repair, None),
+    "op12_automaton_runs": (automaton_runs, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
