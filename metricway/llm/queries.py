@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from metricway.llm import bagminhash, chat, language, lines, mixing, packing, repair, rules, runs, sharding, simhash, toxicity
+from metricway.llm import bagminhash, chat, language, lines, mixing, packing, pii, repair, rules, runs, sharding, simhash, toxicity
 from metricway.llm.common import table, utf8_bytes, written
 
 
@@ -303,6 +303,17 @@ def automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the fixed patterns, and what their contexts gave away."""
+    out = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                      pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_histogram_sort": (histogram_sort, None),
     "op2_adaptive_rules": (adaptive_rules, _adaptive_rules_sql()),
@@ -316,5 +327,6 @@ QUERIES = {
     "op10_simhash": (simhash_tables, None),
     "op11_weighted_repair": (weighted_repair, None),
     "op12_automaton_runs": (automaton_runs, None),
+    "op13_bootstrapped_pii": (bootstrapped_pii, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
