@@ -1,20 +1,32 @@
-"""Partitioned approximate search: k-means cells, probe the nearest few, score exactly."""
+"""Partitioned approximate search: k-means cells, probe the nearest few, score exactly.
+
+A query meets the rows of its cells alone: each task joins its rows to a block of queries on the cell, one matrix product for each
+cell and the queries that probe it. Rows are stored sorted by cell, so a cell that nobody probes is not read, and they stay where
+they are; a crowded cell lies in several tasks.
+"""
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricway.operators.search import _unit, nearest, query_blocks
+from metricway.functions.where import filtered
+from metricway.operators.search import (SCORE_DIGITS, _keep_best, _unit, best_of_tasks, matrix_of, nearest, query_blocks, ranked,
+                                        together, usable)
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
-# Training rows per cell; cells probed; recall slack.
-TRAIN_PER_CELL = 64
+# Cells probed; recall slack.
 DEFAULT_PROBES = 20
 ROW_GROUP = 8 << 20  # bytes
 RECALL_SLACK = 1e-5
@@ -28,14 +40,16 @@ class CellIndex:
 
     @classmethod
     def build(cls, corpus: DataFrame, doc: str = "doc_id", vector: str = "vector", cells: int | None = None,
-              seed: int = 42, iterations: int = 8) -> "CellIndex":
-        """sqrt(n) cells. Only the training reads a sample; every row is assigned and searched."""
+              seed: int = 42, iterations: int = 8, train_rows: int | None = None) -> "CellIndex":
+        """sqrt(n) cells, fitted on all rows, or on about train_rows of them if asked; every row is assigned and searched."""
+        corpus = corpus.filter(usable(F.col(vector)))
         n = corpus.count()
         cells = cells or max(1, round(math.sqrt(n)))
         raw = corpus.withColumn("_raw", array_to_vector(F.col(vector)))
         unit = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0).transform(raw).drop("_raw")
-        share = min(1.0, TRAIN_PER_CELL * cells / max(n, 1))
-        train = unit.select("_unit") if share == 1.0 else unit.select("_unit").sample(share, seed)
+        train = unit.select("_unit")
+        if train_rows and train_rows < n:
+            train = train.sample(train_rows / n, seed)
         model = KMeans(k=cells, seed=seed, maxIter=iterations, featuresCol="_unit", predictionCol="cell",
                        initMode="random").fit(train)
         rows = model.transform(unit).drop("_unit")
@@ -57,29 +71,46 @@ class CellIndex:
         centres = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()  # sqrt(n) rows
         return cls(spark.read.parquet(f"{folder}/rows"), np.array([r.centre for r in centres]), doc, vector)
 
-    def probes(self, queries: DataFrame, probes: int, query: str, vector: str) -> dict:
-        """{query id: its nearest cells}."""
-        out: dict = {}
-        centres = _unit(self.centres)
-        for ids, matrix in query_blocks(queries, query, vector):
-            near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
-            out.update({i: [int(c) for c in row] for i, row in zip(ids, near)})
-        return out
-
     def search(self, queries: DataFrame, k: int, probes: int = DEFAULT_PROBES, query: str = "query_id",
                query_vector: str = "query_vector", where: dict | None = None) -> DataFrame:
-        """Like `nearest`, reading only the probed cells."""
-        near = self.probes(queries, probes, query, query_vector)
-        cells = sorted({c for row in near.values() for c in row})
-        rows = self.rows.filter(F.col("cell").isin(cells)) if len(cells) < len(self.centres) else self.rows
-        return nearest(rows, queries, k, self.doc, self.vector, query, query_vector, where, "cell", near)
+        """Like `nearest`, over the rows of each query's `probes` nearest cells."""
+        found = []
+        centres = _unit(self.centres)
+        doc, vector = self.doc, self.vector
+        for ids, matrix in query_blocks(queries, query, query_vector):
+            near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]  # of a bounded block
+            asked: dict[int, list[int]] = {}
+            for i, cells in enumerate(near):
+                for c in cells:
+                    asked.setdefault(int(c), []).append(i)
+            rows = filtered(self.rows, where).filter(F.size(vector) == matrix.shape[1]).select(doc, vector, "cell")
+            if len(asked) < len(self.centres):
+                rows = rows.filter(F.col("cell").isin(sorted(asked)))
+
+            def scores(batch: pa.RecordBatch, shared: tuple) -> Iterator[tuple]:
+                wanted, q = shared
+                names, cells = batch.column(doc).to_pandas().to_numpy(), batch.column("cell").to_numpy()
+                order = np.lexsort((names, cells))
+                names, cells, values = names[order], cells[order], matrix_of(batch.column(vector))[order]
+                starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+                parts = []
+                for low, high in zip(starts, [*starts[1:], len(cells)]):
+                    own = np.array(wanted.get(int(cells[low]), []), dtype=np.int64)
+                    if len(own):
+                        met = np.round(values[low:high] @ q[own].T, SCORE_DIGITS)
+                        row, col = np.nonzero(_keep_best(met, k))
+                        parts.append((own[col], names[low:high][row], met[row, col]))
+                if parts:
+                    yield tuple(np.concatenate(x) for x in zip(*parts))
+
+            hits = best_of_tasks(rows, queries, ids, (asked, matrix), scores, k, doc, query)
+            found.append(ranked(hits, k, query, doc))
+        return together(found) if found else nearest(self.rows, queries, k, doc, vector, query, query_vector)
 
 
 def refined(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
             vector: str = "vector", query: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """The candidates of a coarse search scored again exactly, the best k kept."""
-    from metricway.operators.search import SCORE_DIGITS, ranked
-
     rows = candidates.select(query, doc).join(corpus.select(doc, vector), doc).join(
         queries.select(query, query_vector), query)
 

@@ -22,14 +22,14 @@ def content_hash(text: Column) -> Column:
 
 
 def hashed_bag_of_words(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, vector: word counts by the MD5 of each word modulo 64, to unit length."""
-    words = docs.select(doc, F.explode(tokens(F.col(text))).alias("word"))
+    """doc, vector: word counts by the MD5 of each word modulo 64, to unit length; a text without a word has a zero vector."""
+    words = docs.select(doc, F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
     bucket = F.conv(F.substring(F.md5("word"), 31, 2), 16, 10).cast("int") % HASH_DIM  # 64 divides 256
-    counts = words.groupBy(doc, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
-    slots = counts.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"),
-                                    F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    counts = words.groupBy(doc, bucket.alias("bucket")).agg(F.count("word").cast("double").alias("n"))
+    slots = counts.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.when(
+        F.col("bucket").isNotNull(), F.struct("bucket", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(HASH_DIM - 1)), lambda i: (
-        F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float"))
+        F.coalesce(F.try_element_at("m", i) / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))).cast("float"))
     return slots.select(doc, vector.alias("vector"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricway.session import written
+
 # Query types, matching thresholds, name pattern of a run's file.
 QUERY_TYPES = ("topical", "filter", "exact", "paraphrase")
 SWEEP_KEYS = ("nprobes", "refine_factor", "ef_search")
@@ -18,7 +20,7 @@ SHARE_POINTS = 0.10
 DETECTED_DAYS = 4
 EQUAL_BELOW = 0.005
 RUN_FILE = r"^(\d{4}-\d{2}-\d{2}T\d{6}Z)_(.+)_([0-9a-f]{7})(?:-\d+)?\.json$"
-PERCENTILE_CUTS = 64
+PROBES, RANGE_VALUES = 100, 2000  # cuts of a round; distinct values that a task may list
 
 
 # ── ranked lists ──────────────────────────────────────────────────────────────
@@ -52,42 +54,78 @@ def macro_means(scores: DataFrame, kind: str, values: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Exact percentiles, linear between order statistics, without a global sort in one task.
+    """Exact percentiles, linear between order statistics, for all groups at once.
 
-    Equal values are counted first; the distinct values are cut into ranges by approximate
-    quantiles, so each range is ranked on its own after a running sum over the few ranges.
+    Equal values are counted first. Each rank looked for lies in a range of distinct values; rounds cut every open range at
+    approximate quantiles of its own values and count what lies below the cuts, until no range holds more than RANGE_VALUES
+    values. Counts are added up in the tasks, so a group of a third of all rows is no more work for one task than another, and there are as
+    many rounds as the data need: each leaves about 1/PROBES of a range.
     """
-    by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(
-        F.count("*").alias("n"))
-    marks = [i / PERCENTILE_CUTS for i in range(1, PERCENTILE_CUTS)]
-    shape = counts.groupBy(*by).agg(F.percentile_approx("v", marks, 1000).alias("cuts"), F.sum("n").alias("total"))
-    if by:
-        wide = counts.join(shape, by)
-    else:
-        wide = counts.withColumn("cuts", shape.select("cuts").scalar()).withColumn("total", shape.select("total").scalar())
-    wide = wide.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    ahead = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = wide.groupBy(*by, "range").agg(F.sum("n").alias("m")).select(
-        *by, "range", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy(*by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = wide.join(sums, [*by, "range"]).withColumn(
-        "first", F.col("ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("v")))
-
-    out = []
-    for q in qs:
-        spot = (F.col("total") - 1) * q / 100
-        low = F.floor(spot)
-        high = F.least(low + 1, F.col("total") - 1)
-        name = f"p{q:g}".replace(".", "_")
-        out += [at(low).alias(f"{name}_low"), at(high).alias(f"{name}_high"), F.max(spot - low).alias(f"{name}_part")]
-    sides = placed.groupBy(*by).agg(*out)
     names = [f"p{q:g}".replace(".", "_") for q in qs]
-    return sides.select(*by, *((F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n)
-                               for n in names))
+    keys = [f"_k{i}" for i in range(len(by))]
+    kept = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*kept, F.col(value).cast("double").alias("v")).agg(
+        F.count("*").alias("n")))
+    totals = written(counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("values")))
+    spots = []
+    for name, q in zip(names, qs):
+        spot = (F.col("total") - 1) * q / 100
+        for side, rank in (("low", F.floor(spot)), ("high", F.least(F.floor(spot) + 1, F.col("total") - 1))):
+            spots.append(F.struct(F.lit(f"{name}_{side}").alias("target"), rank.alias("rank")))
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    ranges = totals.select(*keys, "values", low.alias("low"), high.alias("high"), F.explode(F.array(*spots)).alias("s")).select(
+        *keys, "values", "low", "high", "s.target", "s.rank")
+    probes = [i / PROBES for i in range(1, PROBES)]
+
+    def same(a: str, b: str, *more: str) -> Column:
+        return reduce(and_, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, *more]), F.lit(True))
+
+    def inside(parts: DataFrame) -> DataFrame:
+        """The counts of each distinct range; low is outside, but for the lowest range of all."""
+        within = ((F.col("c.v") > F.col("r.low")) | (F.col("r.low") == low)) & (F.col("c.v") <= F.col("r.high"))
+        return counts.alias("c").join(parts.alias("r"), same("c", "r") & within).select(
+            *(F.col(f"c.{k}") for k in keys), "r.low", "r.high", "c.v", "c.n")
+
+    done = None
+    while True:
+        open_ = ranges.filter(F.col("values") > RANGE_VALUES)
+        if open_.isEmpty():
+            break
+        closed = ranges.filter(F.col("values") <= RANGE_VALUES)
+        done = closed if done is None else done.unionByName(closed)
+        mine = inside(open_.select(*keys, "low", "high").distinct())
+        cuts = mine.groupBy(*keys, "low", "high").agg(F.percentile_approx("v", probes, 20 * PROBES).alias("cuts"))
+        cell = F.size(F.filter("x.cuts", lambda c: c < F.col("m.v")))
+        cells = mine.alias("m").join(cuts.alias("x"), same("m", "x", "low", "high")).groupBy(
+            *(F.col(f"m.{k}") for k in keys), "m.low", "m.high", cell.alias("cell")).agg(
+                F.sum("m.n").alias("n"), F.count("*").alias("values"), F.max("m.v").alias("last"))
+        upto = Window.partitionBy(*keys, "low", "high").orderBy("cell")  # PROBES rows
+        cells = cells.withColumns({"ahead": F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                                   "from": F.coalesce(F.lag("last").over(upto), F.col("low"))})
+        held = (F.col("o.rank") >= F.col("c.ahead")) & (F.col("o.rank") < F.col("c.ahead") + F.col("c.n"))
+        ranges = written(open_.alias("o").join(cells.alias("c"), same("o", "c", "low", "high") & held).select(
+            *(F.col(f"o.{k}") for k in keys), "c.values", F.col("c.from").alias("low"), F.col("c.last").alias("high"), "o.target",
+            (F.col("o.rank") - F.col("c.ahead")).alias("rank")))
+    ranges = ranges if done is None else done.unionByName(ranges)
+    lists = inside(ranges.select(*keys, "low", "high").distinct()).groupBy(*keys, "low", "high").agg(
+        F.array_sort(F.collect_list(F.struct("v", "n"))).alias("list"))  # RANGE_VALUES at most
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
+    found = ranges.alias("o").join(lists.alias("l"), same("o", "l", "low", "high")).select(
+        *(F.col(f"o.{k}") for k in keys), "o.target", F.aggregate("l.list", start, lambda a, x: F.struct(
+            (a["seen"] + x["n"]).alias("seen"), F.when(a["v"].isNotNull() | (a["seen"] + x["n"] <= F.col("o.rank")), a["v"]).otherwise(
+                x["v"]).alias("v")))["v"].alias("v"))
+    sides = found.groupBy(*keys).agg(*(F.max(F.when(F.col("target") == f"{n}_{s}", F.col("v"))).alias(f"{n}_{s}")
+                                       for n in names for s in ("low", "high")))
+    out = []
+    for name, q in zip(names, qs):
+        spot = (F.col("t.total") - 1) * q / 100
+        out.append((F.col(f"s.{name}_low") + (F.col(f"s.{name}_high") - F.col(f"s.{name}_low")) * (spot - F.floor(spot))).alias(name))
+    joined = sides.alias("s").join(totals.alias("t"), same("s", "t"))
+    result = joined.select(*(F.col(f"s.{k}").alias(c) for k, c in zip(keys, by)), *out)
+    if by:
+        return result
+    empty = df.sparkSession.range(1).select(F.lit(1).alias("_one"))  # one row, also for no values
+    return empty.join(result.withColumn("_one", F.lit(1)), "_one", "left").select(*names)
 
 
 def sweep_grid(specs: list[str]) -> list[dict[str, int]]:

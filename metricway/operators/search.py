@@ -8,17 +8,20 @@ postings of the queried terms only.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from metricway.functions.text import squeeze
 from metricway.functions.where import filtered
-from metricway.session import sized, spread, written
+from metricway.session import shared_folder, sized, spread, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -33,19 +36,37 @@ SCORE_DIGITS = 9  # scores equal to this many digits are ties, settled by id
 
 # ── vectors ───────────────────────────────────────────────────────────────────
 
-def query_blocks(queries: DataFrame, query: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries as (ids, unit rows), at most about QUERY_BLOCK at a time."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+def query_parts(queries: DataFrame, query: str) -> Iterator[DataFrame]:
+    """The queries in parts of about QUERY_BLOCK at most."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     for i in range(blocks):
-        part = queries.select(query, vector)
-        if blocks > 1:
-            part = part.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)
-        rows = part.orderBy(query).collect()  # one bounded block
-        if rows:
+        yield queries.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) if blocks > 1 else queries
+
+
+def query_blocks(queries: DataFrame, query: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
+    """The queries as (ids, unit rows), at most about QUERY_BLOCK at a time and of one length; without a vector there is nothing to find."""
+    for part in query_parts(queries.select(query, vector).filter(usable(F.col(vector))), query):
+        by_length: dict[int, list] = {}
+        for r in part.orderBy(query).collect():  # one bounded block
+            by_length.setdefault(len(r[1]), []).append(r)
+        for rows in by_length.values():
             yield [r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))
 
 
+def usable(vector: Column) -> Column:
+    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Results of blocks of queries as one frame. Several are written one after the other, so that no plan holds them all."""
+    if len(parts) == 1:
+        return parts[0]
+    folder = f"{shared_folder(parts[0].sparkSession)}/metricway-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(folder)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -61,49 +82,62 @@ def _keep_best(scores: np.ndarray, k: int) -> np.ndarray:
     return above | (level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0)))
 
 
+def best_rows(held: tuple | None, part: tuple, k: int) -> tuple:
+    """(queries, docs, scores) of both, the k best of each query: by score, then id."""
+    q, d, s = (np.concatenate(x) for x in zip(held, part)) if held is not None else part
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    first = np.searchsorted(q, q)  # where the row's query begins
+    keep = np.arange(len(q)) - first < k
+    return q[keep], d[keep], s[keep]
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Unit rows of a list column whose lists have one length."""
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", vector: str = "vector",
-            query: str = "query_id", query_vector: str = "query_vector", where: dict | None = None,
-            cell: str | None = None, probes: dict | None = None) -> DataFrame:
+            query: str = "query_id", query_vector: str = "query_vector", where: dict | None = None) -> DataFrame:
     """query, doc, score, rank: the k best by cosine among the rows that pass the filter.
 
-    With `cell` and `probes` ({query id: cells}), a query sees only the rows of its cells.
+    A row without a vector, with a null in it or of another length than the query's is never a hit; a query without a vector has none.
     """
-    columns = [doc, vector] + ([cell] if cell else [])
-    rows = filtered(corpus, where).select(*columns).filter(F.col(vector).isNotNull())  # no vector: never a hit
-    spark = corpus.sparkSession
-    doc_type = dict(corpus.dtypes)[doc]
-    query_type = dict(queries.dtypes)[query]
-    schema = f"{query} {query_type}, {doc} {doc_type}, score double"
-    found = None
+    rows = filtered(corpus, where).select(doc, vector).filter(usable(F.col(vector)))
+    found = []
     for ids, matrix in query_blocks(queries, query, query_vector):
-        wanted = [set(probes[i]) for i in ids] if probes else None
-        shared = spark.sparkContext.broadcast((ids, matrix, wanted))
-
-        def best_of_task(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q, cells = shared.value
-            held = None
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                pdf = pdf.sort_values(doc, kind="stable")
-                scores = np.round(_unit(np.stack(pdf[vector].to_numpy()).astype(np.float64)) @ q.T, SCORE_DIGITS)
-                if cells is not None:
-                    at = pdf[cell].to_numpy()
-                    seen = np.array([[c in want for want in cells] for c in np.unique(at)])
-                    scores = np.where(seen[np.searchsorted(np.unique(at), at)], scores, -np.inf)
-                row, col = np.nonzero(_keep_best(scores, k))
-                part = pd.DataFrame({"q": col, doc: pdf[doc].to_numpy()[row], "score": scores[row, col]})
-                both = part if held is None else pd.concat([held, part])
-                held = both.sort_values(["q", "score", doc], ascending=[True, False, True]).groupby("q").head(k)
-            if held is not None and len(held):
-                yield pd.DataFrame({query: [names[i] for i in held["q"]], doc: held[doc].to_numpy(),
-                                    "score": held["score"].to_numpy()})
-
-        part = rows.mapInPandas(best_of_task, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return ranked(found, k, query, doc)
+        def scores(batch: pa.RecordBatch, q: np.ndarray) -> Iterator[tuple]:
+            names = batch.column(doc).to_pandas().to_numpy()
+            order = np.argsort(names, kind="stable")
+            values = np.round(matrix_of(batch.column(vector))[order] @ q.T, SCORE_DIGITS)
+            row, col = np.nonzero(_keep_best(values, k))
+            yield col, names[order][row], values[row, col]
+        part = rows.filter(F.size(vector) == matrix.shape[1])
+        found.append(ranked(best_of_tasks(part, queries, ids, matrix, scores, k, doc, query), k, query, doc))
+    if not found:
+        kinds = [f"{query} {dict(queries.dtypes)[query]}", f"{doc} {dict(corpus.dtypes)[doc]}"]
+        return corpus.sparkSession.createDataFrame([], f"{', '.join(kinds)}, score double, rank int")
+    return together(found)
+
+
+def best_of_tasks(rows: DataFrame, queries: DataFrame, ids: list, shared: object, scores: Callable, k: int, doc: str, query: str) -> DataFrame:
+    """query, doc, score: the k best of each query in each task. scores(batch, shared) gives (query numbers, docs, scores)."""
+    spark, query_type, doc_type = rows.sparkSession, queries.schema[query].dataType, rows.schema[doc].dataType
+    schema = pa.schema([(query, to_arrow_type(query_type)), (doc, to_arrow_type(doc_type)), ("score", pa.float64())])
+    sent = spark.sparkContext.broadcast((ids, shared))  # a bounded block of queries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, given = sent.value
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                for part in scores(batch, given):
+                    held = best_rows(held, part, k)
+        if held is not None and len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in held[0]], schema.field(0).type),
+                                              pa.array(held[1], schema.field(1).type), pa.array(held[2], pa.float64())], schema=schema)
+
+    return rows.mapInArrow(run, StructType([StructField(query, query_type), StructField(doc, doc_type), StructField("score", DoubleType())]))
 
 
 def shortened(score: Column) -> Column:
@@ -164,7 +198,7 @@ class TextIndex:
     @classmethod
     def over(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> "TextIndex":
         index = cls(doc)
-        index._docs = docs.select(doc, F.col(text).alias("text"))
+        index._docs = docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))  # a null text has no words
         return index
 
     def _counts(self, terms: DataFrame | None = None) -> DataFrame:

@@ -9,16 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricway.session import written
+
 # The prefix of seed tags, how many are kept.
 SEED = "seed-"
 KEEP_SEEDS = 10
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace old rows of the same key; the others stay. A key repeated in the new rows is stored once:
-    its greatest row, whatever the order of the input."""
-    new = new.groupBy(*key).agg(F.max(F.struct(*(c for c in new.columns if c not in key))).alias("_r")).select(
-        *key, "_r.*").select(*new.columns) if set(new.columns) != set(key) else new.distinct()
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """New rows replace old rows of the same key; the others stay. A key repeated in the new rows is stored once: its last row
+    by `order`, and of equal ones (or without an order) the one whose JSON text is greatest, whatever the order of the input.
+
+    Only the order and the text are compared, so columns may be of any type, maps included.
+    """
+    rest = [c for c in new.columns if c not in key]
+    if rest:
+        text = F.to_json(F.struct(*rest))
+        new = new.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), text) if order else text).alias("_r")).select(
+            *key, "_r.*").select(*new.columns)
+    else:
+        new = new.distinct()
     return new.unionByName(old.join(new.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
@@ -60,6 +70,50 @@ def refused_scores(surveys: DataFrame) -> DataFrame:
     return surveys.filter(~F.col("csat_score").between(1, 5))
 
 
+# ── a table in bucket folders ─────────────────────────────────────────────────
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    """A number below `buckets` from the MD5 of a key."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
+def create_buckets(df: DataFrame, folder: str, key: str, buckets: int) -> None:
+    """The rows as folders bucket=N by key; one row a key, with the order column that later batches compare."""
+    _write_buckets(df.withColumn("bucket", bucket_of(F.col(key), buckets)), folder, key)
+
+
+def _write_buckets(rows: DataFrame, folder: str, key: str) -> None:
+    """Replace the folders of the buckets that the rows are in. A bucket is written by a few tasks."""
+    rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(4))).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+
+
+def ingest_buckets(folder: str, batch: DataFrame, key: str, seq: str, buckets: int) -> list[int]:
+    """A batch into a table of bucket folders; the buckets that were rewritten.
+
+    Only the buckets of the batch's keys are read and replaced; the others keep their files. The row with the greatest
+    `seq` of a key stays, wherever it comes from, so a batch that comes again, or late, changes nothing that is newer. What
+    replaces a bucket is written aside first: a job that fails on the way leaves the table as it was, or is run again.
+    """
+    spark = batch.sparkSession
+    batch = written(batch.withColumn("bucket", bucket_of(F.col(key), buckets)))
+    touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # `buckets` numbers at most
+    if not touched:
+        return []
+    old = spark.read.parquet(folder).filter(F.col("bucket").isin(touched))
+    rest = [c for c in old.columns if c != key]
+    both = old.unionByName(batch, allowMissingColumns=True).groupBy(key).agg(
+        F.max_by(F.struct(*rest), F.struct(F.col(seq), F.to_json(F.struct(*rest)))).alias("_r"))
+    _write_buckets(written(both.select(key, "_r.*")), folder, key)
+    return touched
+
+
+def bucket_files(spark, folder: str) -> DataFrame:
+    """bucket, files: which files each bucket consists of."""
+    return spark.read.parquet(folder).select("bucket", F.col("_metadata.file_path").alias("file")).distinct().groupBy(
+        "bucket").agg(F.array_sort(F.collect_list("file")).alias("files"))  # a bucket's few files
+
+
 # ── documents from transcripts ────────────────────────────────────────────────
 
 def documents(transcripts: DataFrame, interactions: DataFrame, bridge: DataFrame, members: DataFrame) -> DataFrame:

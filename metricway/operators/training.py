@@ -66,8 +66,7 @@ def baseline(calls: DataFrame, planted: DataFrame, bridge: DataFrame, account: D
 def template_rows(templates: dict[str, list[list[tuple[str, str]]]]) -> list[tuple]:
     """(category, variant, turns, turn, speaker, pattern, pick, keys) for each templated turn.
 
-    A placeholder captures; said again, it must be the same text. `pick` writes the captures
-    side by side.
+    A placeholder captures; said again, it must be the same text. `pick` writes the captures side by side.
     """
     rows = []
     for category, variants in templates.items():
@@ -90,32 +89,38 @@ def template_rows(templates: dict[str, list[list[tuple[str, str]]]]) -> list[tup
     return rows
 
 
-TEMPLATE_SCHEMA = ("category string, variant int, turns int, turn int, speaker string, pattern string, "
-                   "pick string, keys array<string>")
-
-
-def spoken_facts(turns: DataFrame, templates: DataFrame) -> DataFrame:
+def spoken_facts(turns: DataFrame, templates: list[tuple]) -> DataFrame:
     """call_id, category, variant, facts: the first variant of the category that every turn fits,
     with one value per fact. Calls that fit none have a NULL variant.
 
-    `turns` is (call_id, category, turn, speaker, text).
+    `turns` is (call_id, category, turn, speaker, text); `templates` are rows of `template_rows`. Each template is an expression with its
+    pattern as a literal, tried only on turns of its category and place: one pass over the turns, and each pattern is compiled once.
     """
-    told = turns.groupBy("call_id", "category").agg(F.count("*").alias("told"))
-    both = turns.withColumnRenamed("speaker", "said_by").join(templates, ["category", "turn"])
-    fits = (F.col("said_by") == F.col("speaker")) & F.expr("text RLIKE pattern")
-    values = F.split(F.expr("regexp_replace(text, pattern, pick)"), SEPARATOR)
-    spoken = both.withColumn("fits", fits).withColumn(
-        "entries", F.when(F.col("fits") & (F.size("keys") > 0), F.arrays_zip(F.col("keys").alias("k"), values.alias("v"))))
-    whole = spoken.groupBy("call_id", "category", "variant", "turns").agg(
-        F.count("*").alias("met"), F.bool_and("fits").alias("all_fit"),
-        F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"))  # a call's few facts
-    keys = F.transform("entries", lambda e: e["k"])
-    good = whole.join(told, ["call_id", "category"]).filter(
-        F.col("all_fit") & (F.col("met") == F.col("turns")) & (F.col("told") == F.col("turns"))
-        & (F.size(F.array_distinct(keys)) == F.size("entries")))
-    first = good.groupBy("call_id", "category").agg(F.min_by(F.struct("variant", "entries"), "variant").alias("b"))
-    return told.join(first, ["call_id", "category"], "left").select(
-        "call_id", "category", "b.variant", F.map_from_entries("b.entries").alias("facts"))
+    at: dict[tuple[str, int], list[Column]] = {}
+    for category, variant, length, turn, speaker, pattern, _, keys in templates:
+        said = [F.struct(F.lit(k).alias("k"), F.regexp_extract("text", pattern, i + 1).alias("v")) for i, k in enumerate(keys)]
+        entries = F.array(*said) if said else F.array().cast("array<struct<k:string,v:string>>")
+        fit = F.when((F.col("speaker") == speaker) & F.col("text").rlike(pattern), F.struct(
+            F.lit(variant).alias("variant"), F.lit(length).alias("turns"), entries.alias("entries")))
+        at.setdefault((category, turn), []).append(fit)
+    per_category: dict[str, Column] = {}
+    for (category, turn), fits in at.items():
+        here, tried = F.col("turn") == turn, F.array_compact(F.array(*fits))
+        per_category[category] = per_category[category].when(here, tried) if category in per_category else F.when(here, tried)
+    fits = F.lit(None)
+    for category, tried in per_category.items():
+        fits = F.when(F.col("category") == category, tried).otherwise(fits)
+    calls = turns.select("call_id", "category", fits.alias("fits")).groupBy("call_id", "category").agg(
+        F.count("*").alias("told"), F.flatten(F.collect_list("fits")).alias("fits"))  # a call's turns
+    of = F.transform(F.array_distinct(F.transform("fits", lambda x: x["variant"])), lambda v: F.struct(
+        v.alias("variant"), F.filter("fits", lambda x: x["variant"] == v).alias("met")))
+    whole = F.transform(F.filter(of, lambda c: (F.size(c["met"]) == F.col("told")) & (c["met"][0]["turns"] == F.col("told"))),
+                        lambda c: F.struct(c["variant"].alias("variant"), F.array_distinct(F.flatten(
+                            F.transform(c["met"], lambda x: x["entries"]))).alias("entries")))
+    one_value = F.filter(whole, lambda c: F.size(F.array_distinct(F.transform(c["entries"], lambda e: e["k"]))) == F.size(c["entries"]))
+    first = F.get(F.array_sort(one_value), F.lit(0))
+    picked = calls.select("call_id", "category", first.alias("b"))
+    return picked.select("call_id", "category", "b.variant", F.map_from_entries("b.entries").alias("facts"))
 
 
 # ── labels ────────────────────────────────────────────────────────────────────
@@ -247,20 +252,17 @@ def review_sample(rows: DataFrame, size: int = REVIEW_SIZE) -> DataFrame:
 # ── manifest ──────────────────────────────────────────────────────────────────
 
 def content_fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One hash of the whole content, whatever the order and partitioning of the rows.
+    """One hash of the whole content, whatever the order and partitioning of the rows; copies count.
 
-    Equal rows are counted first, so copies are one entry. Entries are folded per prefix, then the
-    prefixes' hashes; a fold holds 1/65536 of the distinct rows.
+    A multiset hash: the SHA-256 of each row is cut into four whole numbers, and the rows' numbers are added up. Sums are plain partial
+    aggregates: nothing is listed or sorted, and one row leaves each task.
     """
     row = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns)), 256)
-    counted = rows.groupBy(row.alias("h")).agg(F.count("*").alias("n"))
-    entry = F.concat("h", F.lit("x"), F.col("n").cast("string"))
-    per_prefix = counted.groupBy(F.substring("h", 1, 4).alias("p")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ""), 256).alias("h"))
-    per_half = per_prefix.groupBy(F.substring("p", 1, 2).alias("p")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return per_half.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""),
-                               256).alias("fingerprint"))
+    hashed = rows.select(row.alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(4)]
+    sums = hashed.agg(F.count("*").alias("n"), *parts)
+    text = F.concat_ws(",", F.col("n").cast("string"), *(F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(4)))
+    return sums.select(F.sha2(text, 256).alias("fingerprint"))
 
 
 def split_counts(split_rows: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ after a failure upserts the same rows again and changes nothing.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricway.operators.store import VersionedTable, ingest
+from metricway.operators.store import VersionedTable, create_buckets, ingest, ingest_buckets, last_of_batch
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str, max_files: int = 1000) -> DataFrame:
@@ -35,3 +36,21 @@ def upsert_stream(stream: DataFrame, table: VersionedTable, checkpoint: str, key
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def bucket_stream(stream: DataFrame, folder: str, checkpoint: str, key: str = "call_id", buckets: int = 64):
+    """Like `upsert_stream`, into bucket folders: a batch rewrites only the buckets of its keys, and a batch that is replayed changes
+    nothing, since stored rows carry their `seq`. The folder is made with the first batch."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        rows = last_of_batch(batch, key, "seq")
+        try:
+            ingest_buckets(folder, rows, key, "seq", buckets)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            create_buckets(rows, folder, key, buckets)
+
+    return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

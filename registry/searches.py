@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from metricway.functions import where as W
-from metricway.operators import ann, embed, search as S
+from metricway.operators import ann, embed, impact, search as S
+from metricway.session import shared_folder
 from registry.base import check, rounded, tables
 
 K = 10
@@ -105,9 +108,20 @@ def items(spark, sf):
     return tables(spark, sf)["benchmark"].select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_INDEXES: dict = {}
+
+
+def text_index(spark, sf):
+    """The stored index of the documents, built once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = f"{shared_folder(spark)}/impact-{uuid.uuid4().hex}"
+        impact.ImpactIndex.build(tables(spark, sf)["documents"], _INDEXES[key])
+    return impact.ImpactIndex(spark, _INDEXES[key])
+
+
 def text_hits(spark, sf, k=K, allowed=None):
-    index = S.TextIndex.over(tables(spark, sf)["documents"])
-    return S.text_search(index, items(spark, sf), k, allowed=allowed)
+    return impact.text_search(text_index(spark, sf), items(spark, sf), k, allowed=allowed)
 
 
 def allowed_docs(spark, sf):

@@ -60,8 +60,7 @@ def turns(spark, sf):
 
 
 def facts(spark, sf):
-    templates = spark.createDataFrame(T.template_rows(TEMPLATES), T.TEMPLATE_SCHEMA)
-    return T.spoken_facts(turns(spark, sf), templates)
+    return T.spoken_facts(turns(spark, sf), T.template_rows(TEMPLATES))
 
 
 def fact_rows(spark, sf):
@@ -286,10 +285,9 @@ QUERIES = {
             round(avg(CAST(j % 5 <> 0 AS INT)), 4) AS follow_up_needed, round(avg([2.0 / 3, 1, 0.5][j % 3 + 1]::DOUBLE), 4) AS metric_pair_f1,
             round(avg([2.0 / 3, 1, 1][j % 3 + 1]::DOUBLE), 4) AS metric_value_f1 FROM x"""),
     "train_attempts": (tried, "SELECT o_orderkey % 3 + 1 AS attempts, count(*) AS n FROM orders GROUP BY 1"),
-    "train_fingerprint": (fingerprint, check(f"""WITH {_SPLITS}, r AS (SELECT sha256(call_id || chr(1) || split) AS h, count(*) AS m FROM cut GROUP BY 1),
-        p AS (SELECT h[:4] AS p, sha256(string_agg(h || 'x' || m, '' ORDER BY h)) AS h FROM r GROUP BY h[:4]),
-        halves AS (SELECT p[:2] AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM p GROUP BY p[:2])
-        SELECT sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM halves""")),
+    "train_fingerprint": (fingerprint, check(f"""WITH {_SPLITS}, r AS (SELECT sha256(call_id || chr(1) || split) AS h FROM cut)
+        SELECT sha256(count(*) || ',' || {" || ',' || ".join(f"sum(CAST('0x' || h[{16 * i + 1}:{16 * i + 16}] AS UBIGINT))" for i in range(4))})
+            AS fingerprint FROM r""")),
     "assign_hash_buckets": (branches, check("""
         WITH u AS (SELECT member_id, ('0x' || sha256(CAST(member_id AS VARCHAR))[:13])::BIGINT / 4503599627370496 AS u FROM member)
         SELECT member_id, CASE WHEN u < 0.2 THEN 'Westside' WHEN u < 0.5 THEN 'Downtown' WHEN u < 0.75 THEN 'Northgate' ELSE 'Riverside' END AS branch FROM u""")),
