@@ -83,7 +83,8 @@ def checked(asked: DataFrame) -> DataFrame:
 
 def _values(column: str) -> Column:
     """The keys of a filter's values, trimmed, once each; all for a filter that names none."""
-    named = F.array_distinct(F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    named = F.array_distinct(F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.trim(x)),
+                                        lambda x: x != ""))
     return F.when(F.size(named) > 0, F.transform(named, lambda x: F.concat(F.lit("="), x))).otherwise(F.array(F.lit(ALL)))
 
 
@@ -95,7 +96,7 @@ def scopes(asked: DataFrame) -> DataFrame:
 
 def detected(cube: CallCube, asked: DataFrame, mine: DataFrame) -> DataFrame:
     """id, day, score, direction: the clearest shift of each question's own weeks inside its search range."""
-    own = asked.select("id", "metric", "kind", "start", "end")
+    own = asked.filter(~F.col("metric").isin(*C.NEEDS_EXPLICIT_POINT)).select("id", "metric", "kind", "start", "end")
     weekly = mine.join(own, "id").join(cube.sums.withColumnRenamed("measure", "metric"), ["scope", "metric"]).groupBy(
         "id", C.monday(F.col("day")).alias("week")).agg(F.sum("n").cast("double").alias("n"), F.sum("total").alias("total"))
     spine = own.join(cube.span).select("*", F.explode(F.sequence(  # span is one row

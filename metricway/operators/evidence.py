@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricway.functions.text import mask_accounts, squeeze
+from metricway.operators.assign import rank_by_hash
 
 # Sample and batch sizes, quote lengths, citation limits, id pattern.
 SAMPLE_CAP = 200
@@ -32,10 +33,19 @@ def hash_sample(calls: DataFrame, by: str | None = None, cap: int = SAMPLE_CAP)
         "place", F.row_number().over(w)).filter(F.col("place") <= cap)
 
 
-def population(calls: DataFrame, by: str, cap: int = SAMPLE_CAP) -> DataFrame:
-    """by, population, read, sampled: how much of a window is read."""
-    return calls.groupBy(by).agg(F.count("*").alias("population")).withColumn(
-        "read", F.least("population", F.lit(cap))).withColumn("sampled", F.col("population") > cap)
+def population(calls: DataFrame, by: str, cap: int | None = None, fetched: DataFrame | None = None) -> DataFrame:
+    """by, population, read, sampled: how much of a window is read: all of it, unless `cap` says fewer or fewer were fetched (call_id)."""
+    if fetched is not None:
+        calls = calls.join(fetched.select("call_id").distinct().withColumn("_has", F.lit(1)), "call_id", "left")
+    had = F.count("_has") if fetched is not None else F.count("*")
+    rows = calls.groupBy(by).agg(F.count("*").alias("population"), had.alias("_had"))
+    read = F.least("_had", F.lit(cap)) if cap else F.col("_had")
+    return rows.select(by, "population", read.alias("read"), (F.col("population") > read).alias("sampled"))
+
+
+def placed(calls: DataFrame, by: str) -> DataFrame:
+    """All calls with `hash` and their place by it in each window; a window is ranked in pieces by the first digits of the hash."""
+    return rank_by_hash(calls.withColumn("hash", F.sha2(F.col("call_id"), 256)), [by], "hash", "call_id")
 
 
 def batches(sample: DataFrame, size: int = BATCH) -> DataFrame:
@@ -60,31 +70,33 @@ def valid_assignments(assigned: DataFrame, sample: DataFrame, items: int) -> Dat
 
 
 def tally(assigned: DataFrame, windows_read: DataFrame) -> DataFrame:
-    """One row per item seen after the change.
+    """One row per item seen after the change: counts, what they come to in the population, and the first citations.
 
-    `assigned` has window (before/after), call_id, place, number, quote (already verified);
-    `windows_read` has window, population, read. A sample has at most 200 calls a window, so
-    the id lists are bounded.
+    `assigned` has window (before/after), call_id, number, quote (already verified); `windows_read` has window, population, read. The
+    calls themselves are rows of `assigned`; no row lists them.
     """
-    def listed(window: str) -> Column:
-        ids = F.collect_list(F.when(F.col("window") == window, F.struct("place", "call_id")))
-        return F.transform(F.array_sort(ids), lambda r: r["call_id"])
-
-    quotes = F.collect_list(F.when((F.col("window") == "after") & F.col("quote").isNotNull(),
-                                   F.struct("place", "call_id", "quote")))
-    per_item = assigned.groupBy("number").agg(
-        listed("before").alias("before_ids"), listed("after").alias("after_ids"),
-        F.slice(F.array_sort(quotes), 1, MAX_CITATIONS).alias("citations"))
+    def n(window: str) -> Column:
+        return F.count_if(F.col("window") == window)
+
+    per_item = assigned.groupBy("number").agg(n("before").alias("before_n"), n("after").alias("after_n")).filter("after_n > 0")
+    best = Window.partitionBy("number").orderBy("hash", "call_id")
+    quoted = assigned.filter((F.col("window") == "after") & F.col("quote").isNotNull()).withColumn("hash", F.sha2("call_id", 256))
+    cited = quoted.withColumn("best", F.row_number().over(best)).filter(F.col("best") <= MAX_CITATIONS).groupBy("number").agg(
+        F.array_sort(F.collect_list(F.struct("best", "call_id", "quote"))).alias("citations"))
+    none = F.array().cast(dict(cited.dtypes)["citations"])
     scale = {w: windows_read.filter(F.col("window") == w).select(
-        (F.col("population") / F.col("read")).alias("s")).scalar() for w in ("before", "after")}
-    before_n, after_n = F.size("before_ids").cast("long"), F.size("after_ids").cast("long")
-    before = before_n * F.coalesce(scale["before"], F.lit(0.0))
-    after = after_n * F.coalesce(scale["after"], F.lit(0.0))
-    return per_item.filter(after_n > 0).select(
-        "number", before_n.alias("before_n"), after_n.alias("after_n"),
-        before.alias("before_scaled"), after.alias("after_scaled"),
+        (F.col("population") / F.nullif(F.col("read"), F.lit(0))).alias("s")).scalar() for w in ("before", "after")}
+    before = F.col("before_n") * F.coalesce(scale["before"], F.lit(0.0))
+    after = F.col("after_n") * F.coalesce(scale["after"], F.lit(0.0))
+    return per_item.join(cited, "number", "left").select(
+        "number", "before_n", "after_n", before.alias("before_scaled"), after.alias("after_scaled"),
         F.when(after > before, "up").when(after < before, "down").otherwise("flat").alias("direction"),
-        "before_ids", "after_ids", "citations").orderBy(F.desc("after_n"), "number")
+        F.coalesce("citations", none).alias("citations")).orderBy(F.desc("after_n"), "number")
+
+
+def item_calls(assigned: DataFrame, tallied: DataFrame) -> DataFrame:
+    """number, window, call_id: the calls behind each reported item, as rows."""
+    return assigned.join(tallied.select("number"), "number", "left_semi").select("number", "window", "call_id")
 
 
 def unassigned(tallied: DataFrame, windows_read: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ SHARE_POINTS = 0.10
 DETECTED_DAYS = 4
 EQUAL_BELOW = 0.005
 RUN_FILE = r"^(\d{4}-\d{2}-\d{2}T\d{6}Z)_(.+)_([0-9a-f]{7})(?:-\d+)?\.json$"
-PROBES, RANGE_VALUES = 100, 2000  # cuts of a round; distinct values that a task may list
+PROBES, RANGE_VALUES = 24, 5000  # cuts of a round; distinct values that a task may list
 
 
 # ── ranked lists ──────────────────────────────────────────────────────────────

@@ -205,8 +205,8 @@ def in_windows(spark, sf):
     return calls.withColumn("window", F.when(F.col("day") < "1998-06-15", "before").otherwise("after"))
 
 
-def sample_of(spark, sf):
-    return E.hash_sample(in_windows(spark, sf).select("window", "call_id", "category", "seconds"), "window")
+def window_calls(spark, sf):
+    return in_windows(spark, sf).select("window", "call_id", "category", "seconds")
 
 
 def labels_of(spark, sf):
@@ -218,52 +218,52 @@ def labels_of(spark, sf):
 
 
 def tallied(spark, sf):
-    sample = sample_of(spark, sf)
-    assigned = E.valid_assignments(labels_of(spark, sf), sample, 5)
-    read = E.population(in_windows(spark, sf), "window")
-    return E.tally(assigned, read), read
+    calls = window_calls(spark, sf)
+    assigned = E.valid_assignments(labels_of(spark, sf), calls, 5)
+    read = E.population(calls, "window")
+    return assigned, E.tally(assigned, read), read
 
 
 def driver_tally(spark, sf):
-    rows, _ = tallied(spark, sf)
+    _, rows, _ = tallied(spark, sf)
     cited = F.array_join(F.transform("citations", lambda c: F.concat(c["call_id"], F.lit("="), c["quote"])), ";")
-    return rounded(rows.select("number", "before_n", "after_n", "before_scaled", "after_scaled", "direction",
-                               F.array_join("before_ids", ",").alias("before_ids"),
-                               F.array_join("after_ids", ",").alias("after_ids"), cited.alias("citations")))
+    return rounded(rows.select("number", "before_n", "after_n", "before_scaled", "after_scaled", "direction", cited.alias("citations")))
+
+
+def driver_calls(spark, sf):
+    """The calls behind every driver, a row each."""
+    assigned, rows, _ = tallied(spark, sf)
+    return E.item_calls(assigned, rows)
 
 
 _WINDOWED = """windowed AS (SELECT *, CASE WHEN day < DATE '1998-06-15' THEN 'before' ELSE 'after' END AS win
         FROM call_log WHERE day >= DATE '1998-05-04' AND day < DATE '1998-07-27'),
     sampled AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY sha256(call_id)) AS place
-        FROM windowed QUALIFY place <= 200),
+        FROM windowed),
     marked AS (SELECT s.*, CASE WHEN seconds % 7 BETWEEN 1 AND 5 THEN seconds % 7
                                 WHEN (seconds + 1) % 7 BETWEEN 1 AND 5 THEN (seconds + 1) % 7 END AS number,
         CASE WHEN seconds % 2 = 0 THEN 'the length was ' || seconds END AS quote FROM sampled s),
-    reads AS (SELECT win, count(*) AS population, least(count(*), 200) AS n FROM windowed GROUP BY 1)"""
+    reads AS (SELECT win, count(*) AS population, count(*) AS n FROM windowed GROUP BY 1)"""
 
 _TALLY = f"""{_WINDOWED},
-    rough AS (SELECT number, count(*) FILTER (win = 'before') AS before_n, count(*) FILTER (win = 'after') AS after_n,
-        coalesce(string_agg(call_id, ',' ORDER BY place) FILTER (win = 'before'), '') AS before_ids,
-        coalesce(string_agg(call_id, ',' ORDER BY place) FILTER (win = 'after'), '') AS after_ids
+    rough AS (SELECT number, count(*) FILTER (win = 'before') AS before_n, count(*) FILTER (win = 'after') AS after_n
         FROM marked WHERE number IS NOT NULL GROUP BY 1),
     cites AS (SELECT number, string_agg(call_id || '=' || quote, ';' ORDER BY place) AS citations FROM (
         SELECT *, row_number() OVER (PARTITION BY number ORDER BY place) AS r FROM marked
         WHERE win = 'after' AND quote IS NOT NULL AND number IS NOT NULL) WHERE r <= 3 GROUP BY 1),
-    counted AS (SELECT r.*, coalesce(citations, '') AS citations,
-        before_n * coalesce((SELECT population / n FROM reads WHERE win = 'before'), 0) AS before_scaled,
-        after_n * coalesce((SELECT population / n FROM reads WHERE win = 'after'), 0) AS after_scaled
+    counted AS (SELECT r.*, coalesce(citations, '') AS citations, CAST(before_n AS DOUBLE) AS before_scaled, CAST(after_n AS DOUBLE) AS after_scaled
         FROM rough r LEFT JOIN cites USING (number) WHERE after_n > 0)"""
 
 
 def unassigned_rows(spark, sf):
-    rows, read = tallied(spark, sf)
+    _, rows, read = tallied(spark, sf)
     return E.unassigned(rows, read)
 
 
 def quotes(spark, sf):
     """Which passages stand verbatim in which documents (whole texts, white space aside).
 
-    Candidate pairs share the passage's longest word, so only those are compared.
+    Candidate pairs share the rarest words of the passage, so only those are compared.
     """
     from metricway.operators.search import quote_pairs
 
@@ -283,9 +283,9 @@ def coaching(spark, sf):
 
 
 def grounding(spark, sf):
-    """Each year's answer cites its longest calls; every fifth id is one that does not exist."""
+    """Each year's answer cites all its calls; every fifth id is one that does not exist."""
     calls = calls_of(spark, sf)
-    cited = calls.filter("seconds >= 440").select(
+    cited = calls.select(
         F.year("day").alias("answer"),
         F.when(F.col("seconds") % 5 == 0, F.concat("call_id", F.lit("X"))).otherwise(F.col("call_id")).alias("call_id"))
     windows = calls.groupBy(F.year("day").alias("answer")).agg(
@@ -327,7 +327,7 @@ def unsupported_rows(spark, sf):
     calls = calls_of(spark, sf)
     found = resolved(spark, sf).select("category", "source")
     labels = labels_of(spark, sf).filter("number BETWEEN 1 AND 5").select("call_id").distinct()
-    read = calls.filter("seconds < 20").join(labels.withColumn("has", F.lit(1)), "call_id", "left").groupBy(
+    read = calls.join(labels.withColumn("has", F.lit(1)), "call_id", "left").groupBy(
         "category").agg(F.count("*").alias("calls_read"), F.count("has").alias("labelled"))
     return found.join(read, "category").select("category", "source", "calls_read", "labelled", E.unsupported(
         F.col("source"), F.col("calls_read"), F.col("labelled")).alias("unsupported"))
@@ -355,7 +355,7 @@ def resolved_sql():
 
 
 _CITED = """cited AS (SELECT CAST(year(day) AS INT) AS answer, CASE WHEN seconds % 5 = 0 THEN call_id || 'X' ELSE call_id END AS call_id
-        FROM call_log WHERE seconds >= 440),
+        FROM call_log),
     wins AS (SELECT CAST(year(day) AS INT) AS answer, min(day) AS b, max(day) - 30 AS e FROM call_log GROUP BY 1),
     checked AS (SELECT c.answer, c.call_id, l.day IS NOT NULL AS "exists", coalesce(l.day >= b AND l.day < e, false) AS inside
         FROM cited c LEFT JOIN call_log l USING (call_id) LEFT JOIN wins w ON w.answer = c.answer)"""
@@ -418,24 +418,31 @@ QUERIES = {
             strftime(d + length, '%Y-%m-%d') AS after_end, length < 42 AS shortened, length >= 7 AS fits FROM m""")),
     "change_explain": (explain_windows, explain_sql()),
     "change_hash_sample": (
-        lambda spark, sf: sample_of(spark, sf).select("window", "call_id", "hash", "place"),
-        check(f"WITH {_WINDOWED} SELECT win AS window, call_id, sha256(call_id) AS hash, CAST(place AS INT) AS place FROM sampled")),
+        lambda spark, sf: E.hash_sample(window_calls(spark, sf), "window").select("window", "call_id", "hash", "place"),
+        check(f"WITH {_WINDOWED} SELECT win AS window, call_id, sha256(call_id) AS hash, CAST(place AS INT) AS place FROM sampled "
+              "WHERE place <= 200")),
     "change_population": (
-        lambda spark, sf: E.population(in_windows(spark, sf), "window"),
-        check(f"WITH {_WINDOWED} SELECT win AS window, population, n AS read, population > 200 AS sampled FROM reads")),
+        lambda spark, sf: E.population(in_windows(spark, sf), "window", E.SAMPLE_CAP),
+        check(f"WITH {_WINDOWED} SELECT win AS window, population, least(n, 200) AS read, population > 200 AS sampled FROM reads")),
+    "change_fetched": (
+        lambda spark, sf: E.population(in_windows(spark, sf), "window", None, calls_of(spark, sf).filter("seconds % 10 <> 3")),
+        check(f"WITH {_WINDOWED} SELECT win AS window, count(*) AS population, count(*) FILTER (seconds % 10 <> 3) AS read, "
+              "count(*) FILTER (seconds % 10 = 3) > 0 AS sampled FROM windowed GROUP BY 1")),
     "change_batches": (
-        lambda spark, sf: E.batches(sample_of(spark, sf)).groupBy("window", "batch").agg(
+        lambda spark, sf: E.batches(E.placed(window_calls(spark, sf), "window")).groupBy("window", "batch").agg(
             F.count("*").alias("n"), F.min("call_id").alias("lowest")),
         check(f"WITH {_WINDOWED} SELECT win AS window, CAST((place - 1) // 20 AS INT) AS batch, count(*) AS n, "
               "min(call_id) AS lowest FROM sampled GROUP BY 1, 2")),
     "change_assignments": (
-        lambda spark, sf: E.valid_assignments(labels_of(spark, sf), sample_of(spark, sf), 5).select(
+        lambda spark, sf: E.valid_assignments(labels_of(spark, sf), window_calls(spark, sf), 5).select(
             "window", "call_id", "number", "quote"),
         check(f"WITH {_WINDOWED} SELECT win AS window, call_id, number, quote FROM marked WHERE number IS NOT NULL")),
     "change_driver_tally": (driver_tally, check(f"""WITH {_TALLY}
         SELECT number, before_n, after_n, round(before_scaled, 6) AS before_scaled, round(after_scaled, 6) AS after_scaled,
             CASE WHEN after_scaled > before_scaled THEN 'up' WHEN after_scaled < before_scaled THEN 'down' ELSE 'flat' END
-            AS direction, before_ids, after_ids, citations FROM counted""")),
+            AS direction, citations FROM counted""")),
+    "change_driver_calls": (driver_calls, check(f"""WITH {_TALLY}
+        SELECT number, win AS window, call_id FROM marked WHERE number IN (SELECT number FROM counted)""")),
     "change_unassigned": (unassigned_rows, check(f"""WITH {_TALLY}
         SELECT win AS window, CAST(n - (SELECT coalesce(sum(CASE WHEN win = 'before' THEN before_n ELSE after_n END), 0)
             FROM counted) AS BIGINT) AS unassigned FROM reads""")),
@@ -471,7 +478,7 @@ QUERIES = {
             round(avg(score) FILTER (day < p), 4) AS score_before, round(avg(score) FILTER (day >= p), 4) AS score_after
         FROM ev JOIN call_log ON day >= p - len AND day < p + len AND (cat IS NULL OR cat = category) GROUP BY 1""")),
     "change_unsupported": (unsupported_rows, f"""
-        WITH src AS ({resolved_sql()}), lo AS ({check("SELECT category, seconds FROM call_log WHERE seconds < 20")})
+        WITH src AS ({resolved_sql()}), lo AS ({check("SELECT category, seconds FROM call_log")})
         SELECT category, source, count(*) AS calls_read,
             count(*) FILTER (seconds % 7 BETWEEN 1 AND 5 OR (seconds + 1) % 7 BETWEEN 1 AND 5) AS labelled,
             source = 'detected' AND count(*) > 0

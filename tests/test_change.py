@@ -96,7 +96,8 @@ def test_quotes(spark):
 
 def test_tally_counts_first_valid_label_and_caps_citations(spark):
     calls = spark.createDataFrame([(f"c{i}", "after" if i < 9 else "before") for i in range(12)], "call_id string, window string")
-    sample = E.hash_sample(calls, "window")
+    sample = E.placed(calls, "window")
+    assert sorted((r.window, r.place) for r in sample.collect()) == [("after", i) for i in range(1, 10)] + [("before", i) for i in range(1, 4)]
     labels = spark.createDataFrame([(f"c{i}", s, n, "a quote of some length") for i in range(12) for s, n in ((0, 9), (1, 1), (2, 2))]
                                    + [("zz", 0, 1, "x")], "call_id string, seq int, number int, quote string")
     valid = E.valid_assignments(labels, sample, 2)
