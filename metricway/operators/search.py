@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from metricway.functions.text import squeeze
 from metricway.functions.where import filtered
 from metricway.session import shared_folder, sized, spread, written
 
@@ -318,47 +317,3 @@ def sample_statement(hits: DataFrame, corpus: DataFrame, query: str = "query_id"
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("got"), F.col("category").cast("string")))
     return got.join(totals, F.col("category") == F.col("_of"), "left").select(
         query, "category", "got", "total", place.alias("place"))
-
-
-def _direct_pairs(quotes: DataFrame, body: DataFrame) -> DataFrame:
-    """Quotes of one or two words, compared with every text, a block of quotes at a time."""
-    n = quotes.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for i in range(blocks if n else 0):
-        part = quotes.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()  # one bounded block
-        if not part:
-            continue
-        held = F.array_compact(F.array(*(F.when(F.col("t").contains(r.quote), F.lit(r.item_id)) for r in part)))
-        pairs = body.select(F.explode(held).alias("item_id"), "doc_id")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
-
-
-def quote_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id) where the quote, of any length but 0, stands in the text.
-
-    A quote's inner words are whole words of any text that holds it, so quotes meet texts in a
-    join on the hash of three inner words, or of the longest inner word of a short quote; the
-    matches are then compared in full. Only quotes without an inner word are compared directly.
-    """
-    ready = quotes.select("item_id", squeeze(F.col("quote")).alias("quote")).filter("quote <> ''")
-    words = F.split("quote", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchored = ready.withColumn("size", F.size(words)).withColumn("key", F.when(
-        F.col("size") >= 5, F.xxhash64(F.array_join(F.slice(inner, 1, 3), " "))).otherwise(F.xxhash64(longest)))
-    body = spread(docs.select("doc_id", "text")).select("doc_id", squeeze(F.col("text")).alias("t"))
-    w = F.split("t", " ")
-    threes = F.transform(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c")),
-                         lambda s: F.xxhash64(F.concat_ws(" ", s["a"], s["b"], s["c"])))
-    singles = F.transform(w, lambda x: F.xxhash64(x))
-    pairs = None
-    for chosen, keys in ((anchored.filter("size >= 5"), threes), (anchored.filter("size IN (3, 4)"), singles)):
-        grams = body.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-        part = chosen.select("item_id", "key").join(grams, "key").select("item_id", "doc_id")
-        pairs = part if pairs is None else pairs.unionByName(part)
-    exact = (pairs.distinct().join(ready, "item_id").join(body, "doc_id")
-             .filter(F.col("t").contains(F.col("quote"))).select("item_id", "doc_id"))
-    direct = _direct_pairs(ready.filter(F.size(words) < 3), body)
-    return exact if direct is None else exact.unionByName(direct)

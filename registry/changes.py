@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from metricway.operators import change as C
 from metricway.operators import evidence as E
+from metricway.operators.quotes import quote_pairs
 from registry.base import check, plain, rounded, star, tables
 
 LOG = (("fee schedule", "1997-03-04"), ("card outage", "1998-06-15"), ("app release", "1998-06-19"),
@@ -265,14 +266,24 @@ def quotes(spark, sf):
 
     Candidate pairs share the rarest words of the passage, so only those are compared.
     """
-    from metricway.operators.search import quote_pairs
-
     t = tables(spark, sf)
     pairs = quote_pairs(t["benchmark"].select("item_id", F.col("text").alias("quote")),
                         t["documents"].select("doc_id", "text"))
     return pairs.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
+def cited(spark, sf):
+    """What of a text may be cited: cut from every document at a place of its own, some with an agent's id or an account number."""
+    d = tables(spark, sf)["documents"].select("doc_id", "text")
+    start = (F.col("doc_id") * 37 % 400 + 1).cast("int")
+    cut = F.substr("text", start, (F.col("doc_id") * 13 % 420).cast("int"))
+    quote = (F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("agent AGT-17 said "), cut))
+             .when(F.col("doc_id") % 9 == 1, F.concat(cut, F.lit(" of account 1234567890")))
+             .when(F.col("doc_id") % 9 == 2, F.concat(F.lit('"'), cut, F.lit('"'))).when(F.col("doc_id") % 9 == 3, F.upper(cut)).otherwise(cut))
+    shown = E.verbatim(quote, F.concat(F.lit("agent AGT-17 said "), F.col("text"), F.lit(" of account 1234567890")))
+    return d.select("doc_id", F.length(shown).alias("chars"), F.sha2(shown, 256).alias("quote_sha256"))
+
+
 def coaching(spark, sf):
     calls = calls_of(spark, sf)
     groups = calls.select(F.concat_ws("/", "category", F.year("day")).alias("label"), "call_id")
@@ -451,6 +462,15 @@ QUERIES = {
             SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark) b
         JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) d ON contains(t, q)
         WHERE q <> '' GROUP BY 1"""),
+    "change_verbatim_kept": (cited, r"""
+        WITH cut AS (SELECT doc_id, text, substr(text, CAST(doc_id * 37 % 400 + 1 AS INT), CAST(doc_id * 13 % 420 AS INT)) AS c FROM documents),
+        q AS (SELECT doc_id, text, CASE doc_id % 9 WHEN 0 THEN 'agent AGT-17 said ' || c WHEN 1 THEN c || ' of account 1234567890'
+            WHEN 2 THEN '"' || c || '"' WHEN 3 THEN upper(c) ELSE c END AS c FROM cut),
+        n AS (SELECT doc_id, trim(trim(regexp_replace(c, '\s+', ' ', 'g')), '"''“” ') AS c,
+            trim(regexp_replace('agent AGT-17 said ' || text || ' of account 1234567890', '\s+', ' ', 'g')) AS t FROM q),
+        k AS (SELECT doc_id, CASE WHEN length(c) BETWEEN 12 AND 300 AND NOT regexp_matches(c, '\b(?:AGT|MBR)-\d+\b')
+            AND NOT regexp_matches(c, '(^|[^0-9*A-Za-z-])[0-9]{6,}($|[^0-9])') AND contains(t, c) THEN c END AS c FROM n)
+        SELECT doc_id, CAST(length(c) AS INT) AS chars, sha256(c) AS quote_sha256 FROM k""".replace("\\\\", "\\")),
     "change_coaching_patterns": (coaching, check("""
         WITH g AS (SELECT category || '/' || year(day) AS label, call_id, seconds % 7 AS number,
                 CASE WHEN seconds % 2 = 0 THEN 1 END AS quoted, sha256(call_id) AS h FROM call_log),

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricway.functions import where as W
-from metricway.operators import ann, embed
+from metricway.operators import ann, embed, impact
+from metricway.operators import quotes as quotes_of
 from metricway.operators import search as S
 from metricway.sources.bindings import Tables
 
@@ -126,18 +127,17 @@ def test_unstored_field_is_refused(docs):
         W.score_range(4, 2)
 
 
-def test_quote_pairs_against_brute_force(spark, sf, monkeypatch):
+def test_quote_pairs_against_brute_force(spark, sf):
     t = Tables(spark, sf)
     docs = {r.doc_id: " ".join(r.text.split()) for r in t["documents"].collect()}
     quotes = [(i, " ".join(x.split())) for i, x in [
         (0, docs[3][5:60]), (1, docs[4][:12]), (2, docs[5][7:30]), (3, "thisisnotawordatall"), (4, docs[6][2:16]), (5, docs[7][10:290])]]
-    quotes += [(6, docs[8][3:900]), (7, docs[9][4:9])]
+    quotes += [(6, docs[8][3:900]), (7, docs[9][4:9]), (8, "e"), (9, "e t"), (10, docs[3].split(" ")[1][:3]), (11, "the of"), (12, "zz qq")]
+    quotes += [(20 + i, " ".join(docs[10 + i].split(" ")[3:3 + i % 6 + 1])[i % 3:]) for i in range(30)]
     quotes = [(i, q.strip()) for i, q in quotes]
-    want = sorted((i, d) for i, q in quotes for d, x in docs.items() if q in x)
+    want = sorted((i, d) for i, q in quotes if q for d, x in docs.items() if q in x)
     given = spark.createDataFrame(quotes, "item_id int, quote string")
-    for block in (S.QUERY_BLOCK, 1):
-        monkeypatch.setattr(S, "QUERY_BLOCK", block)
-        assert sorted(map(tuple, S.quote_pairs(given, t["documents"].select("doc_id", "text")).collect())) == want
+    assert sorted(map(tuple, quotes_of.quote_pairs(given, t["documents"].select("doc_id", "text")).collect())) == want
 
 
 def test_copies_and_jitter(spark):
@@ -157,3 +157,78 @@ def test_model_guard(spark):
     with pytest.raises(ValueError):
         embed.require_one_model(store, store.filter("call_id = 'b'"), "new")
     embed.require_one_model(store, store, "new")
+
+
+def brute_bm25(texts, query):
+    words = {d: re.findall("[a-z0-9]+", (t or "").lower()) for d, t in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    out = {}
+    for doc, own in words.items():
+        tf, score = Counter(own), 0.0
+        for term in set(re.findall("[a-z0-9]+", query.lower())):
+            df = sum(term in set(w) for w in words.values())
+            if tf[term]:
+                score += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf[term] * 2.2 / (tf[term] + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        if score:
+            out[doc] = round(score, 9)
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+
+
+@pytest.mark.parametrize("direct", [0, 1000])
+def test_impact_index_against_brute_force(spark, folder, direct, monkeypatch):
+    """Also with blocks skipped by their bounds, with a filter, and with a null and an empty text."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(rng.choice(words, rng.integers(1, 40), p=np.arange(1, 121) / 7260)) for i in range(300)} | {300: None, 301: ""}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    asked = {1: "w3 w5 w5 W9", 2: "w119", 3: "nothing known", 4: " ".join(words[:50]), 5: "w0"}
+    q = spark.createDataFrame(list(asked.items()), "query_id int, query string")
+    index = impact.ImpactIndex.build(docs, folder, buckets=4, block_docs=16)
+    assert index.blocks > 10 and index.docs == 302
+    seen = []
+    spy = impact.ImpactIndex._scored
+    def scored(self, *args):
+        seen.append(args[-1])
+        return spy(self, *args)
+    monkeypatch.setattr(impact.ImpactIndex, "_scored", scored)
+    for k in (1, 7):
+        got = {}
+        for r in index.search(q, k, direct=direct).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+        for i, text in asked.items():
+            want = brute_bm25(texts, text)[:k]
+            mine = sorted(got.get(i, []))
+            assert [d for _, d, _ in mine] == [d for d, _ in want]
+            assert [s for _, _, s in mine] == pytest.approx([s for _, s in want])
+    if direct == 0:  # of the rare word's blocks only those that can still reach its best are looked at
+        rest, reach = seen[1].filter("asked IS NOT NULL").count(), index.blocks * 4
+        assert 0 < rest < reach
+    allowed = docs.filter("doc_id % 3 = 0").select("doc_id")
+    got = [r.doc_id for r in index.search(q.filter("query_id = 4"), 5, allowed=allowed, direct=direct).orderBy("rank").collect()]
+    assert got == [d for d, _ in brute_bm25(texts, asked[4]) if d % 3 == 0][:5]
+
+
+def test_null_texts_score_alike_on_the_fly_and_stored(spark, folder):
+    docs = spark.createDataFrame([("a", "fee refund"), ("b", None), ("c", "fee"), ("d", "")], "call_id string, text string")
+    q = spark.createDataFrame([(1, "fee")], "query_id int, query string")
+    index = S.TextIndex.over(docs, "call_id")
+    fly, stored = (sorted((r.call_id, round(r.bm25, 9)) for r in S.bm25(i, q).collect()) for i in (index, index.write(f"{folder}/t", 2)))
+    built = impact.ImpactIndex.build(docs, f"{folder}/i", "call_id").search(q, 5)
+    assert fly == stored == sorted((r.call_id, round(r.score, 9)) for r in built.collect())
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, [0.6, 0.8])]
+    corpus = spark.createDataFrame(rows, "doc_id int, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0, 1.0]), (4, [None, 1.0])], "query_id int, query_vector array<double>")
+    got = sorted((r.query_id, r.doc_id, r.score) for r in S.nearest(corpus, q, 9).collect())
+    assert got == [(1, 1, 1.0), (1, 5, 0.0), (1, 6, 0.6), (3, 3, 0.0)]
+    assert S.nearest(corpus, q.filter("query_vector IS NULL"), 3).count() == 0
+    cells = ann.CellIndex.build(corpus.filter("doc_id <> 3"), cells=2)
+    assert sorted((r.query_id, r.doc_id, r.score) for r in cells.search(q.filter("query_id < 3"), 9, probes=2).collect()) == got[:3]
+
+
+def test_a_text_without_words_has_a_zero_vector(spark):
+    docs = spark.createDataFrame([(1, "fee fee"), (2, ""), (3, None), (4, "!?")], "doc_id int, text string")
+    rows = {r.doc_id: r.vector for r in embed.hashed_bag_of_words(docs).collect()}
+    assert len(rows) == 4 and sum(rows[1]) == 1.0 and all(rows[i] == [0.0] * 64 for i in (2, 3, 4))
