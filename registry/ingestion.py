@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from metricway.operators import embed as E
 from metricway.operators import store as S
-from metricway.session import shared_folder
-from metricway.sources import files, schemas
+from metricway.session import shared_folder, written
+from metricway.sources import checked, files, schemas
 from registry.base import check, plain, rounded, tables
 from registry.searches import STORE_SQL, doc_store
 
@@ -253,7 +253,100 @@ def hashes(spark, sf):
     return tables(spark, sf)["documents"].select("doc_id", E.content_hash(F.col("text")).alias("hash"))
 
 
+def bucketed(spark, sf):
+    """Documents in bucket folders; toxic ones come again without their text. Buckets without one keep their files, and the batch that
+    comes a second time, or an older one, changes no row."""
+    where, buckets = scratch(spark), 128
+    t = tables(spark, sf)
+    docs = t["documents"].select("doc_id", "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.lit(1).alias("seq"))
+    S.create_buckets(docs, where, "doc_id", buckets)
+    before = written(S.bucket_files(spark, where))
+    toxic = t["labels"].filter("toxic = 1").select("doc_id").distinct()
+    batch = docs.join(toxic, "doc_id").withColumn("text", F.lit("[removed]")).withColumn("seq", F.lit(2))
+    S.ingest_buckets(where, batch, "doc_id", "seq", buckets)
+    after = written(S.bucket_files(spark, where))
+    first = written(spark.read.parquet(where))
+    S.ingest_buckets(where, batch.unionByName(docs.filter("doc_id % 3 = 0")), "doc_id", "seq", buckets)
+    row = F.xxhash64("doc_id", "text", "seq", F.to_json("metadata")).cast("decimal(38,0)")
+    def content(df, name):
+        return df.groupBy("bucket").agg(F.sum(row).alias(name))
+    again = content(first, "a").join(content(spark.read.parquet(where), "b"), "bucket").select("bucket", (F.col("a") == F.col("b")).alias("same"))
+    files_ = before.join(after.withColumnRenamed("files", "now"), "bucket").select("bucket", (F.col("files") != F.col("now")).alias("rewritten"))
+    counts = first.groupBy("bucket").agg(F.count("*").alias("rows"), F.count_if(F.col("text") == "[removed]").alias("removed"),
+                                         F.count(F.col("metadata")["lang"]).alias("with_lang"))
+    return counts.join(files_, "bucket").join(again, "bucket")
+
+
+def upsert_maps(spark, sf):
+    """Rows with a map column, some repeated in the batch: the last by order stays."""
+    d = tables(spark, sf)["documents"]
+    old = d.select("doc_id", F.create_map(F.lit("source"), F.col("source")).alias("metadata"), F.lit(0).alias("seq"))
+    new = d.filter("doc_id % 4 = 0").select("doc_id", F.explode(F.array(F.lit(2), F.lit(3), F.lit(1))).alias("seq"), "lang").select(
+        "doc_id", F.create_map(F.lit("source"), F.concat_ws("-", "lang", "seq")).alias("metadata"), "seq")
+    return S.upsert(old, new, ["doc_id"], "seq").select("doc_id", F.col("metadata")["source"].alias("source"), "seq")
+
+
+def json_array(spark, sf):
+    """The ledger's interactions written as one array of objects over lines, and read by splits."""
+    where = scratch(spark)
+    rows = tables(spark, sf)["interaction"].select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    ends = spark.createDataFrame([("[", 0), ("]", 2)], "value string, at int")
+    laid = rows.select(F.concat("value", F.lit(",")).alias("value"), F.lit(1).alias("at")).unionByName(ends)
+    laid.repartitionByRange(4, "at", "value").sortWithinPartitions("at").select("value").write.text(where)
+    back = checked.read_json_array(spark, where, "interaction")
+    return back.groupBy("category_code").agg(F.count("*").alias("n"), F.max("interaction_id").alias("last"))
+
+
+def query_file(spark, sf):
+    """Labelled queries as JSON lines, some broken, read with what is wrong and where."""
+    where = scratch(spark)
+    o = tables(spark, sf)["orders"]
+    k = F.col("o_orderkey")
+    relevant = F.when(k % 11 == 0, F.lit("[]")).when(k % 13 == 0, F.lit('"a"')).otherwise(F.lit('["a","b"]'))
+    record = F.concat(F.lit('{"id": '), F.when(k % 7 == 0, F.lit("5")).otherwise(F.concat(F.lit('"'), k.cast("string"), F.lit('"'))),
+                      F.lit(', "type": "exact", "query": '), F.when(k % 5 == 0, F.lit("null")).otherwise(F.lit('"q"')),
+                      F.lit(', "derivation": "d", "relevant": '), relevant, F.lit("}"))
+    line = F.when(k % 17 == 0, F.lit("{broken")).when(k % 19 == 0, F.lit("[1]")).otherwise(record)
+    o.select(line.alias("value"), "o_orderkey").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(where)
+    rows = checked.read_queries(spark, where)
+    return rows.groupBy(F.array_join("errors", "; ").alias("errors")).agg(
+        F.count("*").alias("n"), F.count_distinct("file", "line").alias("lines"))
+
+
+def typed_records(spark, sf):
+    """Results records as JSON text, some with values of a wrong type."""
+    o = tables(spark, sf)["orders"]
+    k = F.col("o_orderkey")
+    def text(name, wrong, bad):
+        return F.concat(F.lit(f'"{name}": '), F.when(wrong, F.lit(bad)).otherwise(F.lit('"x"')))
+    value = F.concat(
+        F.lit('{"date": '), F.when(k % 5 == 0, F.lit('"2026-13-45"')).otherwise(F.lit('"2026-01-02"')), F.lit(', "area": "evals", '),
+        text("git_sha", k % 7 == 0, "12"), F.lit(", "), text("run", k % 11 == 0, "null"), F.lit(', "notes": "", '),
+        text("hardware", k % 13 == 0, '" "'), F.lit(', "versions": '), F.when(k % 17 == 0, F.lit("[]")).otherwise(F.lit('{"python": "3"}')),
+        F.lit(', "params": {}, "metrics": '), F.when(k % 19 == 0, F.lit('{"recall": "high"}')).otherwise(F.lit('{"recall": 0.5}')), F.lit("}"))
+    value = F.when(k % 23 == 0, F.lit("[]")).otherwise(value)
+    rows = checked.record_errors(o.select("o_orderkey", value.alias("value")))
+    return rows.select(F.col("o_orderkey").alias("id"), F.array_join("errors", "; ").alias("errors"))
+
+
 QUERIES = {
+    "ingest_bucketed": (bucketed, """WITH d AS (SELECT d.doc_id, CAST(('0x' || md5(CAST(d.doc_id AS VARCHAR))[:8])::BIGINT % 128 AS INT) AS bucket,
+            d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS gone FROM documents d)
+        SELECT bucket, count(*) AS rows, count(*) FILTER (gone) AS removed, count(*) AS with_lang, bool_or(gone) AS rewritten, true AS same
+        FROM d GROUP BY 1"""),
+    "ingest_upsert_maps": (upsert_maps, """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang || '-3' ELSE source END AS source,
+        CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 0 END AS seq FROM documents"""),
+    "ingest_json_array": (json_array, check("SELECT category_code, count(*) AS n, max(interaction_id) AS last FROM interaction GROUP BY 1")),
+    "labels_query_file": (query_file, """SELECT CASE WHEN k % 17 = 0 THEN 'no JSON' WHEN k % 19 = 0 THEN 'no object' ELSE concat_ws('; ',
+            CASE WHEN k % 5 = 0 THEN 'query missing' END, CASE WHEN k % 7 = 0 THEN 'id is no string' END,
+            CASE WHEN k % 11 <> 0 AND k % 13 = 0 THEN 'relevant is no array' END,
+            CASE WHEN k % 5 <> 0 AND k % 7 <> 0 AND k % 11 = 0 THEN 'relevant must be a non-empty list of unique ids' END) END AS errors,
+            count(*) AS n, count(*) AS lines FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1"""),
+    "results_record_types": (typed_records, """SELECT k AS id, CASE WHEN k % 23 = 0 THEN 'no JSON object' WHEN k % 7 = 0 OR k % 11 = 0 OR k % 17 = 0
+            THEN concat_ws('; ', CASE WHEN k % 7 = 0 THEN 'git_sha is no text' END, CASE WHEN k % 11 = 0 THEN 'missing run' END,
+                CASE WHEN k % 17 = 0 THEN 'versions is no object' END)
+            ELSE concat_ws('; ', CASE WHEN k % 5 = 0 THEN 'date is not YYYY-MM-DD' END, CASE WHEN k % 13 = 0 THEN 'hardware is empty' END,
+                CASE WHEN k % 19 = 0 THEN 'no number: recall' END) END AS errors FROM (SELECT o_orderkey AS k FROM orders)"""),
     "ingest_json_lines": (json_lines, check("""SELECT * REPLACE (CAST(staff_id AS INTEGER) AS staff_id, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
         strftime(ended_at, '%Y-%m-%d %H:%M:%S.%f') AS ended_at) FROM interaction""")),
     "ingest_typed_ledger": (typed_ledger, check("""SELECT txn_type, CAST(NULL AS VARCHAR) AS fee_type, count(*) AS n,
