@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,29 @@ def test_gate(spark):
     found = spark.createDataFrame([("a", "sql"), ("b", "route")], "item string, key string")
     known = spark.createDataFrame([("b", "route"), ("c", "sql")], "item string, key string")
     assert {tuple(r) for r in E.gate(found, known).collect()} == {("a", "sql", "new failure"), ("c", "sql", "now passes")}
+
+
+def test_percentiles_of_skewed_groups_in_several_rounds(spark, monkeypatch):
+    """A group with most of the rows, one with a single value, one with a null key, none of nulls."""
+    monkeypatch.setattr(E, "PROBES", 5)
+    monkeypatch.setattr(E, "RANGE_VALUES", 7)
+    rng = random.Random(4)
+    rows = [("hot", rng.lognormvariate(0, 3)) for _ in range(3000)] + [("one", 5.0)] * 40 + [(None, float(i)) for i in range(90)]
+    rows += [("few", 1.0), ("few", 2.0), ("none", None), ("inf", float("-inf")), ("inf", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0, 5, 50, 99.5, 100]
+    got = {r.k: r for r in E.percentiles(df, "v", qs, ("k",)).collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert got.keys() == groups.keys()
+    for k, values in groups.items():
+        values.sort()
+        for q, name in zip(qs, ("p0", "p5", "p50", "p99_5", "p100")):
+            spot = (len(values) - 1) * q / 100
+            low, high = values[int(spot)], values[min(int(spot) + 1, len(values) - 1)]
+            if k != "inf":
+                assert got[k][name] == pytest.approx(low + (high - low) * (spot - int(spot)))
+    empty = E.percentiles(df.filter("v > 1e99"), "v", [50]).collect()
+    assert [r.p50 for r in empty] == [None]

@@ -4,9 +4,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from metricway.operators import store
 from metricway.operators.store import VersionedTable, ingest, tag_name, upsert
 from metricway.sources import files, schemas
-from metricway.streaming.ingest import document_stream, upsert_stream
+from metricway.streaming.ingest import bucket_stream, document_stream, upsert_stream
 
 
 def test_every_declared_column_has_a_type():
@@ -106,3 +107,42 @@ def test_streamed_files_are_upserted(spark, folder):
     newest = table.newest()
     upsert_stream(document_stream(spark, f"{folder}/in", "call_id string, text string"), table, f"{folder}/check").awaitTermination()
     assert table.newest() == newest
+
+
+def test_buckets_rewritten_and_replayed(spark, folder):
+    """Through the stream: only the buckets of a batch's keys get new files; late and repeated batches change nothing newer."""
+    import os
+
+    os.makedirs(f"{folder}/in")
+    table = f"{folder}/table"
+
+    def arrive(name, rows):
+        with open(f"{folder}/in/{name}.json", "w") as f:
+            f.writelines(json.dumps(r) + "\n" for r in rows)
+        stream = document_stream(spark, f"{folder}/in", "call_id string, text string, metadata map<string,string>")
+        bucket_stream(stream, table, f"{folder}/check", buckets=8).awaitTermination()
+
+    def rows():
+        return {r.call_id: (r.text, r.metadata) for r in spark.read.parquet(table).collect()}
+
+    arrive("one", [{"call_id": f"c{i}", "text": "1", "metadata": {"n": str(i)}} for i in range(40)])
+    before = {r.bucket: r.files for r in store.bucket_files(spark, table).collect()}
+    arrive("two", [{"call_id": "c3", "text": "2", "metadata": {}}, {"call_id": "new", "text": "2"}])
+    after = {r.bucket: r.files for r in store.bucket_files(spark, table).collect()}
+    keys = spark.createDataFrame([("c3",), ("new",)], "k string").select(store.bucket_of(F.col("k"), 8)).collect()
+    assert {b for b in after if after[b] != before.get(b)} == {r[0] for r in keys} != set(after)
+    now = rows()
+    assert len(now) == 41 and now["c3"] == ("2", {}) and now["new"] == ("2", None) and now["c4"] == ("1", {"n": "4"})
+    stored = spark.read.parquet(table)
+    older = stored.filter("call_id IN ('c3', 'c5')").drop("bucket").withColumn("text", F.lit("0")).withColumn(
+        "seq", F.col("seq").withField("at", F.col("seq.at") - F.expr("INTERVAL 1 DAY")))
+    store.ingest_buckets(table, older, "call_id", "seq", 8)
+    assert rows() == now and store.ingest_buckets(table, older.limit(0), "call_id", "seq", 8) == []
+
+
+def test_upsert_keeps_the_last_by_order_and_any_type(spark):
+    old = spark.createDataFrame([(1, {"a": 1}, 0), (2, {"b": 1}, 0)], "id int, m map<string,int>, seq int")
+    new = spark.createDataFrame([(1, {"z": 9}, 1), (1, {"a": 2}, 2), (3, None, 1)], "id int, m map<string,int>, seq int")
+    rows = {r.id: r.m for r in store.upsert(old, new, ["id"], "seq").collect()}
+    assert rows == {1: {"a": 2}, 2: {"b": 1}, 3: None}
+    assert {r.id: r.m for r in store.upsert(old, new.filter("seq = 1"), ["id"]).collect()}[1] == {"z": 9}

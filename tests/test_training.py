@@ -73,6 +73,9 @@ def test_fingerprint_ignores_order_and_sees_a_change(spark):
     a = T.content_fingerprint(rows, "call_id", "category").first()[0]
     assert T.content_fingerprint(rows.repartition(5), "call_id", "category").first()[0] == a
     assert T.content_fingerprint(rows.limit(2999), "call_id", "category").first()[0] != a
+    copy = rows.unionByName(rows.limit(1))
+    assert T.content_fingerprint(copy, "call_id", "category").first()[0] != a
+    assert T.content_fingerprint(rows.limit(0), "call_id").collect() == T.content_fingerprint(rows.filter("false"), "call_id").collect()
 
 
 @pytest.mark.parametrize("a, b, want", [([], [], 1.0), (["x"], [], 0.0), (["x", "y"], ["y"], 2 / 3)])
