@@ -1,7 +1,4 @@
-"""Fuzzy line dedup against brute force, and its rules for odd inputs."""
-
-import random
-import re
+"""Fuzzy line dedup: rules for odd inputs; test_line_shingles.py has the brute force."""
 
 import pytest
 
@@ -9,60 +6,6 @@ pytest.importorskip("metricway.llm")
 
 from metricway.llm import lines  # noqa: E402
 
-STARTS = re.compile(r"[一-鿿]|[^\x20\x09-\x0D一-鿿]+")
-
-
-def shingle_set(line):
-    return {line[m.start(): m.start() + lines.SHINGLE] for m in STARTS.finditer(line)}
-
-
-def brute(rows, similarity=lines.SIMILARITY):
-    """(doc, place) of lines that go, to the place that stays."""
-    own = [(i, k, p, x) for k, (i, t) in enumerate(rows) for p, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
-    sets, parent = [shingle_set(o[3]) for o in own], list(range(len(own)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(own)):
-        for j in range(i):
-            if own[i][3] == own[j][3] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    groups = {}
-    for i in range(len(own)):
-        groups.setdefault(find(i), []).append(i)
-    out = []
-    for g in groups.values():
-        first = min(g, key=lambda i: own[i][:3])
-        out += [(own[i][0], own[i][2], own[first][0], own[first][2]) for i in g if i != first]
-    return sorted(out)
-
-
-def documents(rng):
-    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.randrange(60)}" for _ in range(200)]
-    base = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 60))) for _ in range(25)]
-    rows = []
-    for i in range(60):
-        own = []
-        for _ in range(rng.randint(1, 5)):
-            line = rng.choice(base).split(" ")
-            for _ in range(rng.choice([0, 0, 1, 2])):
-                line[rng.randrange(len(line))] = rng.choice(words)
-            own.append(" ".join(line))
-        rows.append((rng.randrange(10_000), "\n".join(own)))
-    return rows
-
-
-def test_against_brute_force(spark):
-    rows = documents(random.Random(4))
-    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, row string").coalesce(1)
-    got = sorted((r.doc_id, r.place, r.kept_doc, r.kept_place) for r in lines.dropped(df).collect())
-    assert got == brute(rows)
-
-
 def test_rebuilt_texts(spark, folder):
     rows = [(2, "one and the same line here\n\nown words of two"), (1, "one and the same line here\nx"), (3, None), (4, ""),
             (5, "日本語の文章がここにあります\nx\ny"), (6, "日本語の文章がここにあります"), (7, " \n\t"), (8, "x\nx")]

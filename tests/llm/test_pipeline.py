@@ -8,7 +8,7 @@ import corpus_pipeline as pipeline  # noqa: E402
 from metricway.llm import language, packing, toxicity  # noqa: E402
 from metricway.llm.common import table  # noqa: E402
 from test_bagminhash import brute_classes  # noqa: E402
-from test_lines import brute  # noqa: E402
+from test_line_shingles import brute  # noqa: E402
 from test_packing import checked  # noqa: E402
 
 
