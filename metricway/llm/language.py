@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,20 +34,20 @@ from metricway.llm.common import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package
 
 VOCABULARY = "piece_bpe_32k.model"
-LONGEST = 8  # code points of a piece that is used; longer ones add little to words
 START = "▁"
-TRAINING_ROWS = 12_000
+ROWS_PER_LANGUAGE = 3_000
 ROUNDS = 3
 SMOOTH = 0.05
 BLOCK = 4_096
+SLICE = 2_000_000
 LONG = 20  # letters; far from where a product of probabilities is rounded to 0
-KEPT_PREFIXES = 600_000
+KEPT_PREFIXES = 400_000
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def pieces_of(path: str) -> tuple[list[str], dict[int, int]]:
-    """The vocabulary's pieces of up to LONGEST code points, and the places of its byte pieces."""
+    """All pieces of the vocabulary, and the places of its byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,7 +56,7 @@ def pieces_of(path: str) -> tuple[list[str], dict[int, int]]:
         if model.is_byte(i):
             by_byte[int(model.id_to_piece(i)[1:-1], 16)] = len(pieces)
             pieces.append(model.id_to_piece(i))
-        elif not (model.is_control(i) or model.is_unknown(i)) and len(model.id_to_piece(i)) <= LONGEST:
+        elif not (model.is_control(i) or model.is_unknown(i)):
             pieces.append(model.id_to_piece(i))
     return pieces, by_byte
 
@@ -71,6 +72,7 @@ class Lattice:
         pieces, self.by_byte = pieces_of(path)
         self.size = len(pieces)
         self.index = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces))
 
     def arcs(self, word: str) -> list[tuple[int, int, list[int]]]:
         """(from, to, pieces) of every piece inside the marked word; a letter that is no piece is its bytes."""
@@ -80,7 +82,7 @@ class Lattice:
             single = index.get(marked[a])
             out.append((a, a + 1, [single] if single is not None else
                         [self.by_byte[b] for b in marked[a].encode() if b in self.by_byte]))
-            for b in range(a + 2, min(n, a + LONGEST) + 1):
+            for b in range(a + 2, min(n, a + self.longest) + 1):
                 piece = index.get(marked[a:b])
                 if piece is not None:
                     out.append((a, b, [piece]))
@@ -220,7 +222,10 @@ class Prefixes:
                     break
                 place[prefix] = len(place)
                 fresh.setdefault(n, []).append(prefix)
-        self.sums = np.vstack([self.sums, np.zeros((len(place) - len(self.sums), self.sums.shape[1]))])
+        if len(place) > len(self.sums):  # grown by half, so that what is kept is not copied for every batch
+            grown = np.zeros((max(len(place), len(self.sums) * 3 // 2), self.sums.shape[1]))
+            grown[: len(self.sums)] = self.sums
+            self.sums = grown
         for n in sorted(fresh):
             starts, before, piece = [], [], []
             for prefix in fresh[n]:
@@ -228,7 +233,7 @@ class Prefixes:
                 last = index.get(prefix[-1], -1)
                 piece.append(self.letter(prefix[-1]) if last < 0 else last)
                 before.append(place[prefix[:-1]])
-                for k in range(2, min(n, LONGEST) + 1):
+                for k in range(2, min(n, self.lattice.longest) + 1):
                     own = index.get(prefix[n - k:])
                     if own is None:
                         break
@@ -257,11 +262,23 @@ def sampled(rows: DataFrame, bound: int, id_col: str = "doc_id") -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
-def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang", rows: int = TRAINING_ROWS,
-        rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages in order, (languages, pieces) log probabilities) from rows of text and non-null language."""
+def sampled_by(rows: DataFrame, group: str, bound: int, hashed: str) -> DataFrame:
+    """About `bound` rows of each group by a hash of a column, or all of a group with fewer. Each group keeps the rows of its least
+    hash at least, so none is lost."""
+    rows = rows.withColumn("_hash", F.pmod(F.xxhash64(F.col(hashed), F.lit("sample")), F.lit(1_000_000_000)))
+    sizes = written(rows.groupBy(group).agg(F.count("*").alias("_n"), F.min("_hash").alias("_least")))
+    chosen = (F.col("_hash") * F.col("_n") < F.lit(1_000_000_000 * bound)) | (F.col("_hash") == F.col("_least"))
+    return rows.join(sizes, group).filter(chosen).drop("_n", "_hash", "_least")
+
+
+def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE,
+        rounds: int = ROUNDS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """(languages in order, (languages, pieces) log probabilities) from rows of text and non-null language.
+
+    Languages are those of all labelled rows; of each about `rows` rows are learnt from, by a hash of the id.
+    """
     spark = labelled.sparkSession
-    known = sampled(labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()), rows)
+    known = sampled_by(labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(id_col, lang, text), lang, rows, id_col)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,6 +328,16 @@ def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     return langs, model
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE bytes of text, one row at least: bounds what is counted at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, text: str = "text",
             keep: list[str] | None = None) -> DataFrame:
     """The kept columns with `lang_pred` and `score`: the language's share of the likelihood a word, in 0 to 1."""
@@ -321,7 +348,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, tex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Prefixes(Lattice(path), shipped.value.astype(np.float64)) if langs else None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, len(keep))):
             counted = [Counter(words(body)) for body in batch.column(len(keep)).to_pylist()]
             if known:
                 known.learn(list(set().union(*counted)))

@@ -76,3 +76,27 @@ def test_odd_inputs(spark):
     assert out == [(1, "de"), (2, "en"), (3, "und"), (4, "und"), (5, "de"), (5, "und")]
     none, nothing = language.fit(docs.limit(0), PATH)
     assert {r.lang_pred for r in language.predict(docs, none, nothing, PATH).collect()} == {"und"}
+
+
+def test_a_rare_language_is_learnt_from_a_bounded_sample(spark):
+    """One row of a third language among thousands, with a bound of ten rows a language."""
+    rows = [(i, f"the and of to that with number {chr(97 + i % 26)}", "en") for i in range(2000)]
+    rows += [(5000 + i, f"der die das und nicht mit nummer {chr(97 + i % 26)}", "de") for i in range(500)] + [(9999, "siamo andati questa notte", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.lang: r.n for r in language.sampled_by(docs, "lang", 10, "doc_id").groupBy("lang").agg({"*": "count"}).toDF("lang", "n").collect()}
+    assert kept["it"] == 1 and set(kept) == {"en", "de", "it"}
+    langs, model = language.fit(docs, PATH, rows=100)
+    assert langs == ["de", "en", "it"]
+    asked = spark.createDataFrame([(1, "questa notte"), (2, "und nicht"), (3, "that with")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in language.predict(asked, langs, model, PATH).collect()) == [(1, "it"), (2, "de"), (3, "en")]
+
+
+def test_all_pieces_of_the_vocabulary_are_used(fitted):
+    """A word that is one piece of over eight letters has that piece among its segmentations."""
+    lattice, model = fitted
+    long = max((p for p in lattice.index if p.startswith(language.START) and p[1:].isalpha()), key=len)
+    assert len(long) > 9 and any(a == 0 and b == len(long) for a, b, _ in lattice.arcs(long[1:]))
+    short = max((p for p in lattice.index if p.startswith(language.START) and p[1:].isalpha() and 9 < len(p) < 12), key=len)
+    prefixes = language.Prefixes(lattice, model)
+    prefixes.learn([short[1:]])
+    assert np.allclose(prefixes.score([short[1:]])[0], enumerated(lattice, model, short[1:]))
