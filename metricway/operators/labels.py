@@ -15,9 +15,11 @@ from metricway.plans.catalog import METRICS
 
 # Function words left out when two wordings are compared.
 STOPWORDS = (
-    "a an and are as at be but by can d did do does for from has have how i if in is it its m me my no not "
-    "of on or our s so that the their them then there this to up was we what when where which who will with "
-    "would you your").split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "d", "did", "do", "does", "for", "from", "has",
+    "have", "how", "i", "if", "in", "is", "it", "its", "m", "me", "my", "no", "not", "of", "on", "or", "our", "s",
+    "so", "that", "the", "their", "them", "then", "there", "this", "to", "up", "was", "we", "what", "when", "where",
+    "which", "who", "will", "with", "would", "you", "your",
+)
 MIN_RELEVANT = 2
 MAX_SHARED = 1
 

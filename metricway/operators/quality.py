@@ -109,94 +109,208 @@ FEE_TYPES = ("overdraft", "nsf", "monthly_maintenance", "atm", "other")
 LOCK_STATUS = ("active", "expired", "exercised", "cancelled")
 
 
-def _declare(table: str, text: str, values: dict | None = None) -> list[Check]:
-    """`column: u n v >parent.field` per item: unique, not_null, accepted values, relationship."""
+UNIQUE, NOT_NULL = ("unique",), ("not_null",)
+
+
+def one_of(values: tuple) -> tuple:
+    return "accepted_values", values
+
+
+def parent(table: str, column: str) -> tuple:
+    return "relationships", table, column
+
+
+def _declare(table: str, columns: dict[str, list[tuple]]) -> list[Check]:
+    """The checks of a table: its columns with their tests."""
     out = []
-    for item in text.split(";"):
-        column, _, marks = (p.strip() for p in item.partition(":"))
-        for mark in marks.split():
-            if mark == "u":
-                out.append(Check(table, column, "unique"))
-            elif mark == "n":
-                out.append(Check(table, column, "not_null"))
-            elif mark == "v":
-                out.append(Check(table, column, "accepted_values", tuple((values or {})[column])))
+    for column, tests in columns.items():
+        for kind, *more in tests:
+            if kind == "accepted_values":
+                out.append(Check(table, column, kind, tuple(more[0])))
+            elif kind == "relationships":
+                out.append(Check(table, column, kind, parent=tuple(more)))
             else:
-                out.append(Check(table, column, "relationships", parent=tuple(mark[1:].split("."))))
+                out.append(Check(table, column, kind))
     return out
 
 
 STAR_CHECKS = [
-    *_declare("d_date", "date_day: u n; year_number: n; month_number: n"),
-    *_declare("d_time", "time_key: u n"),
-    *_declare("d_household", "household_id: u n; income_band: n v", {"income_band": INCOME_BANDS}),
-    *_declare("d_member", "member_id: u n; member_type: n v; home_branch: v; "
-              "household_id: >d_household.household_id; credit_score_band: v",
-              {"member_type": MEMBER_TYPES, "home_branch": BRANCHES, "credit_score_band": CREDIT_BANDS}),
-    *_declare("d_team", "team_id: u n; function_area: n v", {"function_area": AREAS}),
-    *_declare("d_staff", "staff_id: u n; team_id: n >d_team.team_id; role: n v", {"role": ROLES}),
-    *_declare("d_category", "category_code: u n"),
-    *_declare("d_product", "product_id: u n; lob: n v", {"lob": LINES}),
-    *_declare("d_account", "account_id: u n; product_id: n >d_product.product_id; "
-              "primary_member_id: n >d_member.member_id; status: n v", {"status": ACCOUNT_STATUS}),
-    *_declare("d_channel", "channel_code: u n"),
-    *_declare("d_outcome", "outcome_code: u n"),
-    *_declare("d_account_status", "account_status_code: u n"),
-    *_declare("f_interaction", "interaction_id: u n; member_id: >d_member.member_id; "
-              "staff_id: >d_staff.staff_id; team_id: >d_team.team_id; "
-              "category_code: >d_category.category_code; duration_seconds: n"),
-    *_declare("f_interaction_account", "interaction_id: n >f_interaction.interaction_id; "
-              "account_id: n >d_account.account_id"),
-    *_declare("f_csat", "survey_id: u n; interaction_id: u n >f_interaction.interaction_id; "
-              "member_id: >d_member.member_id; staff_id: >d_staff.staff_id; score: n v",
-              {"score": SCORES}),
-    *_declare("f_account_snapshot", "account_id: n >d_account.account_id; "
-              "member_id: >d_member.member_id; product_id: >d_product.product_id; snapshot_date: n"),
-    *_declare("f_transaction", "transaction_id: u n; account_id: n >d_account.account_id; "
-              "member_id: >d_member.member_id; product_id: >d_product.product_id; txn_type: n v; "
-              "fee_type: v", {"txn_type": TXN_TYPES, "fee_type": FEE_TYPES}),
-    *_declare("f_rate_lock", "lock_id: u n; member_id: >d_member.member_id; "
-              "product_id: >d_product.product_id; status: n v", {"status": LOCK_STATUS}),
-    *_declare("f_rate", "product_rate_id: u n; product_id: >d_product.product_id"),
+    *_declare("d_date", {
+        "date_day": [UNIQUE, NOT_NULL],
+        "year_number": [NOT_NULL],
+        "month_number": [NOT_NULL],
+    }),
+    *_declare("d_time", {
+        "time_key": [UNIQUE, NOT_NULL],
+    }),
+    *_declare("d_household", {
+        "household_id": [UNIQUE, NOT_NULL],
+        "income_band": [NOT_NULL, one_of(INCOME_BANDS)],
+    }),
+    *_declare("d_member", {
+        "member_id": [UNIQUE, NOT_NULL],
+        "member_type": [NOT_NULL, one_of(MEMBER_TYPES)],
+        "home_branch": [one_of(BRANCHES)],
+        "household_id": [parent("d_household", "household_id")],
+        "credit_score_band": [one_of(CREDIT_BANDS)],
+    }),
+    *_declare("d_team", {
+        "team_id": [UNIQUE, NOT_NULL],
+        "function_area": [NOT_NULL, one_of(AREAS)],
+    }),
+    *_declare("d_staff", {
+        "staff_id": [UNIQUE, NOT_NULL],
+        "team_id": [NOT_NULL, parent("d_team", "team_id")],
+        "role": [NOT_NULL, one_of(ROLES)],
+    }),
+    *_declare("d_category", {
+        "category_code": [UNIQUE, NOT_NULL],
+    }),
+    *_declare("d_product", {
+        "product_id": [UNIQUE, NOT_NULL],
+        "lob": [NOT_NULL, one_of(LINES)],
+    }),
+    *_declare("d_account", {
+        "account_id": [UNIQUE, NOT_NULL],
+        "product_id": [NOT_NULL, parent("d_product", "product_id")],
+        "primary_member_id": [NOT_NULL, parent("d_member", "member_id")],
+        "status": [NOT_NULL, one_of(ACCOUNT_STATUS)],
+    }),
+    *_declare("d_channel", {
+        "channel_code": [UNIQUE, NOT_NULL],
+    }),
+    *_declare("d_outcome", {
+        "outcome_code": [UNIQUE, NOT_NULL],
+    }),
+    *_declare("d_account_status", {
+        "account_status_code": [UNIQUE, NOT_NULL],
+    }),
+    *_declare("f_interaction", {
+        "interaction_id": [UNIQUE, NOT_NULL],
+        "member_id": [parent("d_member", "member_id")],
+        "staff_id": [parent("d_staff", "staff_id")],
+        "team_id": [parent("d_team", "team_id")],
+        "category_code": [parent("d_category", "category_code")],
+        "duration_seconds": [NOT_NULL],
+    }),
+    *_declare("f_interaction_account", {
+        "interaction_id": [NOT_NULL, parent("f_interaction", "interaction_id")],
+        "account_id": [NOT_NULL, parent("d_account", "account_id")],
+    }),
+    *_declare("f_csat", {
+        "survey_id": [UNIQUE, NOT_NULL],
+        "interaction_id": [UNIQUE, NOT_NULL, parent("f_interaction", "interaction_id")],
+        "member_id": [parent("d_member", "member_id")],
+        "staff_id": [parent("d_staff", "staff_id")],
+        "score": [NOT_NULL, one_of(SCORES)],
+    }),
+    *_declare("f_account_snapshot", {
+        "account_id": [NOT_NULL, parent("d_account", "account_id")],
+        "member_id": [parent("d_member", "member_id")],
+        "product_id": [parent("d_product", "product_id")],
+        "snapshot_date": [NOT_NULL],
+    }),
+    *_declare("f_transaction", {
+        "transaction_id": [UNIQUE, NOT_NULL],
+        "account_id": [NOT_NULL, parent("d_account", "account_id")],
+        "member_id": [parent("d_member", "member_id")],
+        "product_id": [parent("d_product", "product_id")],
+        "txn_type": [NOT_NULL, one_of(TXN_TYPES)],
+        "fee_type": [one_of(FEE_TYPES)],
+    }),
+    *_declare("f_rate_lock", {
+        "lock_id": [UNIQUE, NOT_NULL],
+        "member_id": [parent("d_member", "member_id")],
+        "product_id": [parent("d_product", "product_id")],
+        "status": [NOT_NULL, one_of(LOCK_STATUS)],
+    }),
+    *_declare("f_rate", {
+        "product_rate_id": [UNIQUE, NOT_NULL],
+        "product_id": [parent("d_product", "product_id")],
+    }),
 ]
 
 # The raw tables' own constraints: keys, parents and value lists.
 RAW_CHECKS = [
-    *_declare("household", "household_id: u n; income_band: v", {"income_band": INCOME_BANDS}),
-    *_declare("member", "member_id: u n; member_type: v; credit_score_band: v; "
-              "household_id: >household.household_id",
-              {"member_type": MEMBER_TYPES, "credit_score_band": CREDIT_BANDS}),
-    *_declare("team", "team_id: u n; function_area: v", {"function_area": AREAS}),
-    *_declare("staff", "staff_id: u n; role: v; team_id: >team.team_id", {"role": ROLES}),
-    *_declare("product", "product_id: u n; lob: v", {"lob": LINES}),
-    *_declare("account", "account_id: u n; status: v; product_id: >product.product_id; "
-              "primary_member_id: >member.member_id", {"status": ACCOUNT_STATUS}),
-    *_declare("account_owner", "account_id,member_id: u; ownership_role: v",
-              {"ownership_role": ("primary", "joint", "authorized_user")}),
-    *_declare("auto_insurance_policy", "account_id: u n; coverage_code: v",
-              {"coverage_code": ("liability", "full", "liab+coll")}),
-    *_declare("banking_account", "account_id: u n; sub_type: v",
-              {"sub_type": ("checking", "savings", "money_market", "certificate")}),
-    *_declare("investment_account", "account_id: u n; inv_type: v",
-              {"inv_type": ("brokerage", "ira", "managed")}),
-    *_declare("product_rate", "product_rate_id: u n; rate_type: v",
-              {"rate_type": ("note", "purchase_apr", "cash_advance_apr", "base", "apy")}),
-    *_declare("rate_lock", "lock_id: u n; status: v; product_id: >product.product_id",
-              {"status": LOCK_STATUS}),
-    *_declare("interaction", "interaction_id: u n; channel: v; direction: v; caller_type: v; outcome: v; "
-              "member_id: >member.member_id",
-              {"channel": ("phone", "chat", "secure_message", "branch"),
-               "direction": ("inbound", "outbound", "callback"),
-               "caller_type": ("member", "business", "internal"),
-               "outcome": ("resolved", "escalated", "callback_scheduled", "unresolved", "transferred")}),
-    *_declare("interaction_account", "interaction_id,account_id: u; account_role: v; "
-              "interaction_id: >interaction.interaction_id; account_id: >account.account_id",
-              {"account_role": ("subject", "referenced")}),
-    *_declare("csat_survey", "survey_id: u n; interaction_id: u >interaction.interaction_id; score: v",
-              {"score": SCORES}),
-    *_declare("account_transaction", "transaction_id: u n; txn_type: v; status: v; "
-              "account_id: >account.account_id",
-              {"txn_type": TXN_TYPES, "status": ("posted", "pending", "hold")}),
+    *_declare("household", {
+        "household_id": [UNIQUE, NOT_NULL],
+        "income_band": [one_of(INCOME_BANDS)],
+    }),
+    *_declare("member", {
+        "member_id": [UNIQUE, NOT_NULL],
+        "member_type": [one_of(MEMBER_TYPES)],
+        "credit_score_band": [one_of(CREDIT_BANDS)],
+        "household_id": [parent("household", "household_id")],
+    }),
+    *_declare("team", {
+        "team_id": [UNIQUE, NOT_NULL],
+        "function_area": [one_of(AREAS)],
+    }),
+    *_declare("staff", {
+        "staff_id": [UNIQUE, NOT_NULL],
+        "role": [one_of(ROLES)],
+        "team_id": [parent("team", "team_id")],
+    }),
+    *_declare("product", {
+        "product_id": [UNIQUE, NOT_NULL],
+        "lob": [one_of(LINES)],
+    }),
+    *_declare("account", {
+        "account_id": [UNIQUE, NOT_NULL],
+        "status": [one_of(ACCOUNT_STATUS)],
+        "product_id": [parent("product", "product_id")],
+        "primary_member_id": [parent("member", "member_id")],
+    }),
+    *_declare("account_owner", {
+        "account_id,member_id": [UNIQUE],
+        "ownership_role": [one_of(("primary", "joint", "authorized_user"))],
+    }),
+    *_declare("auto_insurance_policy", {
+        "account_id": [UNIQUE, NOT_NULL],
+        "coverage_code": [one_of(("liability", "full", "liab+coll"))],
+    }),
+    *_declare("banking_account", {
+        "account_id": [UNIQUE, NOT_NULL],
+        "sub_type": [one_of(("checking", "savings", "money_market", "certificate"))],
+    }),
+    *_declare("investment_account", {
+        "account_id": [UNIQUE, NOT_NULL],
+        "inv_type": [one_of(("brokerage", "ira", "managed"))],
+    }),
+    *_declare("product_rate", {
+        "product_rate_id": [UNIQUE, NOT_NULL],
+        "rate_type": [one_of(("note", "purchase_apr", "cash_advance_apr", "base", "apy"))],
+    }),
+    *_declare("rate_lock", {
+        "lock_id": [UNIQUE, NOT_NULL],
+        "status": [one_of(LOCK_STATUS)],
+        "product_id": [parent("product", "product_id")],
+    }),
+    *_declare("interaction", {
+        "interaction_id": [UNIQUE, NOT_NULL],
+        "channel": [one_of(("phone", "chat", "secure_message", "branch"))],
+        "direction": [one_of(("inbound", "outbound", "callback"))],
+        "caller_type": [one_of(("member", "business", "internal"))],
+        "outcome": [one_of(("resolved", "escalated", "callback_scheduled", "unresolved", "transferred"))],
+        "member_id": [parent("member", "member_id")],
+    }),
+    *_declare("interaction_account", {
+        "interaction_id,account_id": [UNIQUE],
+        "account_role": [one_of(("subject", "referenced"))],
+        "interaction_id": [parent("interaction", "interaction_id")],
+        "account_id": [parent("account", "account_id")],
+    }),
+    *_declare("csat_survey", {
+        "survey_id": [UNIQUE, NOT_NULL],
+        "interaction_id": [UNIQUE, parent("interaction", "interaction_id")],
+        "score": [one_of(SCORES)],
+    }),
+    *_declare("account_transaction", {
+        "transaction_id": [UNIQUE, NOT_NULL],
+        "txn_type": [one_of(TXN_TYPES)],
+        "status": [one_of(("posted", "pending", "hold"))],
+        "account_id": [parent("account", "account_id")],
+    }),
 ]
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +12,6 @@ from metricway.session import written
 
 # Query types, matching thresholds, name pattern of a run's file.
 QUERY_TYPES = ("topical", "filter", "exact", "paraphrase")
-SWEEP_KEYS = ("nprobes", "refine_factor", "ef_search")
 MATCH_RECALL, MATCH_PRECISION = 0.5, 0.6
 MIN_PLANTED = 5
 SHARE_POINTS = 0.10
@@ -128,28 +126,6 @@ def percentiles(df: DataFrame, value: str, qs: list[float], by: tuple[str, ...]
     return empty.join(result.withColumn("_one", F.lit(1)), "_one", "left").select(*names)
 
 
-def sweep_grid(specs: list[str]) -> list[dict[str, int]]:
-    """`["nprobes=20,50", "refine_factor=1,20"]` as every combination, in order."""
-    axes: dict[str, list[int]] = {}
-    for spec in specs:
-        key, _, text = spec.partition("=")
-        key = key.strip()
-        parts = [p.strip() for p in text.split(",") if p.strip()]
-        if key not in SWEEP_KEYS or key in axes or not parts or not all(p.isdecimal() and int(p) > 0 for p in parts):
-            raise ValueError(f"bad sweep {spec!r}: one of {SWEEP_KEYS}, each once, with positive whole numbers")
-        axes[key] = [int(p) for p in parts]
-    return [dict(zip(axes, combo)) for combo in product(*axes.values())] if axes else []
-
-
-def split_sweep(grid: list[dict[str, int]]) -> tuple[list[dict[str, int]], list[int]]:
-    """The cell-index combinations and the graph-index values, each without repeats."""
-    cells: list[dict[str, int]] = []
-    for combo in ({k: v for k, v in c.items() if k != "ef_search"} for c in grid):
-        if combo and combo not in cells:
-            cells.append(combo)
-    return cells, list(dict.fromkeys(c["ef_search"] for c in grid if "ef_search" in c))
-
-
 # ── evaluation runs (rows: item, group, key, score BOOLEAN or DOUBLE, comment) ───
 
 def pass_rates(rows: DataFrame, keys: list[str]) -> DataFrame:

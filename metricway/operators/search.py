@@ -310,10 +310,13 @@ def hydrated(hits: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame
     return hits.join(docs.withColumn("metadata", meta).select(doc, "metadata"), doc)
 
 
-def sample_statement(hits: DataFrame, corpus: DataFrame, query: str = "query_id") -> DataFrame:
-    """query, category, got, total, place: "got of total calls in category", most hits first."""
-    totals = corpus.groupBy(F.col("category").alias("_of")).agg(F.count("*").alias("total"))
+def sample_statement(hits: DataFrame, corpus: DataFrame, query: str = "query_id", where: dict | None = None) -> DataFrame:
+    """query, category, got, total, place: "got of total calls in category", most hits first.
+
+    Totals are of what could have been hit: with the search's own filter, such as a survey score, they count only what passes it.
+    """
+    totals = filtered(corpus, where).groupBy(F.col("category").alias("_of")).agg(F.count("*").alias("total"))
     got = hits.groupBy(query, "category").agg(F.count("*").alias("got"))
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("got"), F.col("category").cast("string")))
-    return got.join(totals, F.col("category") == F.col("_of"), "left").select(
+    return got.join(totals, F.col("category").eqNullSafe(F.col("_of")), "left").select(
         query, "category", "got", "total", place.alias("place"))

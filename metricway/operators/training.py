@@ -14,10 +14,11 @@ PRODUCT_LINES = ("mortgage", "home", "car_insurance", "banking", "cards", "inves
 RESOLUTIONS = ("information_provided", "action_completed", "dispute_opened", "request_submitted",
                "offer_pending", "review_needed")
 METRIC_NAMES = (
-    "balance secondary_balance ledger_balance credit_limit outstanding_balance available_credit purchase_apr "
-    "payment_amount rate note_rate current_principal ltv escrow_balance monthly_pi annual_premium "
-    "monthly_premium deductible market_value cash_value ytd_return new_account_apy monthly_fee "
-    "waiver_min_balance locked_rate expires_at loan_amount").split()
+    "balance", "secondary_balance", "ledger_balance", "credit_limit", "outstanding_balance", "available_credit",
+    "purchase_apr", "payment_amount", "rate", "note_rate", "current_principal", "ltv", "escrow_balance", "monthly_pi",
+    "annual_premium", "monthly_premium", "deductible", "market_value", "cash_value", "ytd_return", "new_account_apy",
+    "monthly_fee", "waiver_min_balance", "locked_rate", "expires_at", "loan_amount",
+)
 # category -> (product line, metrics spoken, resolution, follow-up)
 RULES = {
     "account_balance": ("subject_lob", ("balance", "secondary_balance"), "information_provided", None),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -261,3 +262,55 @@ def problems() -> list[str]:
             if model_of_entity(entity) is None:
                 out.append(f"{model.name}: nothing has {entity} as its primary entity")
     return out
+
+
+# ── reachability over entities ────────────────────────────────────────────────
+
+def entity_links(spark: SparkSession, models: dict[str, SemanticModel] | None = None) -> DataFrame:
+    """model, column, target: the many-to-one hop of each foreign entity to the model whose primary entity it is."""
+    models = models or MODELS
+    by_primary = {m.primary: m.name for m in models.values()}
+    rows = [(m.name, column, by_primary.get(entity)) for m in models.values() for entity, column in m.foreign.items()]
+    return spark.createDataFrame(rows, "model string, column string, target string")
+
+
+def join_paths(spark: SparkSession, models: dict[str, SemanticModel] | None = None) -> DataFrame:
+    """start, target, hops, path ARRAY: every way from a model over foreign entities, itself included, as a recursive query.
+
+    No model is met twice on a path, so a cycle of declarations ends.
+    """
+    models = models or MODELS
+    names = spark.createDataFrame([(n,) for n in models], "model string")
+    return spark.sql("""
+        WITH RECURSIVE walk(start, target, hops, path) AS (
+            SELECT model, model, 0, array(model) FROM {names}
+            UNION ALL
+            SELECT w.start, l.target, w.hops + 1, array_append(w.path, l.target) FROM walk w JOIN {links} l ON l.model = w.target
+            WHERE l.target IS NOT NULL AND NOT array_contains(w.path, l.target))
+        SELECT start, target, hops, path FROM walk""", names=names, links=entity_links(spark, models).distinct())
+
+
+def reachable_dimensions(spark: SparkSession, models: dict[str, SemanticModel] | None = None) -> DataFrame:
+    """start, dimension (entity__name), hops: the dimensions of each model's own and reachable models by their shortest way."""
+    models = models or MODELS
+    own = spark.createDataFrame([(m.name, f"{m.primary}__{d}") for m in models.values() for d in m.dimensions], "target string, dimension string")
+    return join_paths(spark, models).join(own, "target").groupBy("start", "dimension").agg(F.min("hops").alias("hops"))
+
+
+def unreachable_filters(spark: SparkSession) -> DataFrame:
+    """metric, model, dimension of simple metrics whose filter no path reaches: must be empty."""
+    rows = [(m.name, MEASURES[m.measure].model, m.where[0]) for m in METRICS.values() if m.kind == "simple" and m.where]
+    asked = spark.createDataFrame(rows, "metric string, model string, dimension string")
+    there = reachable_dimensions(spark).select(F.col("start").alias("model"), "dimension")
+    return asked.join(there, ["model", "dimension"], "left_anti").select("metric", "model", "dimension")
+
+
+def path_fanout(paths: DataFrame, repeated: DataFrame) -> DataFrame:
+    """start, target, hops, path (text), repeated: how many repeated keys the joins of a path meet; 0 keeps every row once.
+
+    repeated: (model, repeated), the repeated primary keys of each model's table.
+    """
+    steps = paths.select("start", "target", "hops", F.array_join("path", ">").alias("path"), F.explode("path").alias("model"))
+    met = steps.filter("model <> start OR hops = 0").join(repeated, "model", "left")
+    return met.groupBy("start", "target", "hops", "path").agg(
+        F.sum(F.when((F.col("model") != F.col("start")), F.coalesce("repeated", F.lit(0))).otherwise(0)).alias("repeated"))

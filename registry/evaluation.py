@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from metricway.operators.quotes import quote_pairs
 from metricway.operators import change as C
 from metricway.operators import labels as L
 from metricway.operators import scoring as E
@@ -37,7 +38,7 @@ _SCORES = f"""{LABEL_QUERIES_SQL}, hits AS ({nearest_sql()}),
 def text_scores(spark, sf):
     """BM25 hits of each passage against the documents that hold it word for word."""
     t = tables(spark, sf)
-    held = S.quote_pairs(t["benchmark"].select("item_id", F.col("text").alias("quote")), t["documents"].select("doc_id", "text"))
+    held = quote_pairs(t["benchmark"].select("item_id", F.col("text").alias("quote")), t["documents"].select("doc_id", "text"))
     from registry.searches import text_hits
 
     return rounded(E.retrieval_scores(text_hits(spark, sf), held.withColumnRenamed("item_id", "query_id")))
@@ -277,7 +278,7 @@ def endings(spark, sf):
 
 def phrase_homes(spark, sf):
     t = tables(spark, sf)
-    pairs = S.quote_pairs(t["benchmark"].select("item_id", F.col("text").alias("quote")), t["documents"].select("doc_id", "text"))
+    pairs = quote_pairs(t["benchmark"].select("item_id", F.col("text").alias("quote")), t["documents"].select("doc_id", "text"))
     rows = L.phrase_categories(pairs, doc_store(spark, sf))
     return rows.select("item_id", F.array_join("categories", ",").alias("categories"), (F.size("categories") > 1).alias("ambiguous"))
 

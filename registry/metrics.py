@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricway.operators import quality, summaries
-from metricway.plans.catalog import METRICS, MODELS, catalogue
+from metricway.plans.catalog import MEASURES, METRICS, MODELS, catalogue, entity_links, join_paths, path_fanout, reachable_dimensions
 from metricway.plans.compiler import MetricQuery
 from registry.base import check, plain, rounded, star, tables
 
@@ -152,6 +152,40 @@ def model_keys(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+def reachability(spark, sf):
+    """Every join path between models, and the repeated keys that it would meet in the tables."""
+    return path_fanout(join_paths(spark), model_keys(spark, sf).select("model", "repeated"))
+
+
+def reached_filters(spark, sf):
+    """For each filtered metric, whether its dimension is reached from its model, over how many joins, and how many rows have a value there."""
+    s = star(spark, sf)
+    rows = [(m.name, MEASURES[m.measure].model, m.where[0]) for m in METRICS.values() if m.kind == "simple" and m.where]
+    asked = spark.createDataFrame(rows, "metric string, model string, dimension string")
+    sizes = reduce(DataFrame.unionByName, (s[m.table].agg(F.count("*").alias("rows")).select(F.lit(m.name).alias("model"), "rows")
+                                           for m in MODELS.values()))
+    there = reachable_dimensions(spark).withColumnRenamed("start", "model")
+    return asked.join(there, ["model", "dimension"], "left").join(sizes, "model").select(
+        "metric", "model", "dimension", "hops", F.col("hops").isNotNull().alias("reached"), "rows")
+
+
+def _keys_sql():
+    return " UNION ALL ".join(
+        f"SELECT '{m.name}' AS model, (SELECT count(*) FROM (SELECT {m.key} FROM {m.table} WHERE {m.key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS repeated, "
+        f"(SELECT count(*) FROM {m.table}) AS n" for m in MODELS.values())
+
+
+def _walk_sql():
+    """The declared hops as values, walked by a recursive query."""
+    target = {m.primary: m.name for m in MODELS.values()}
+    links = ", ".join(f"('{m.name}', '{target[e]}')" for m in MODELS.values() for e in m.foreign)
+    names = ", ".join(f"('{m}')" for m in MODELS)
+    return f"""links(model, target) AS (VALUES {links}), walk(start, target, hops, path) AS (
+        SELECT m, m, 0, [m] FROM (VALUES {names}) AS t(m) UNION ALL
+        SELECT w.start, l.target, w.hops + 1, list_append(w.path, l.target) FROM walk w JOIN links l ON l.model = w.target
+        WHERE NOT list_contains(w.path, l.target))"""
+
+
 def provenance(spark, sf):
     """The statement that produced the numbers travels with them."""
     compiled = MetricQuery(["call_volume", "nps"], ["interaction__category_code"]).compile()
@@ -296,6 +330,16 @@ QUERIES = {
         FROM (SELECT category_code AS k, {_CALLS} FROM f_interaction GROUP BY 1) a
         FULL OUTER JOIN (SELECT i.category_code AS k, {_NPS} FROM f_csat c
             LEFT JOIN f_interaction i ON c.interaction_id = i.interaction_id GROUP BY 1) b ON a.k = b.k""")),
+    "metric_join_paths": (reachability, "WITH RECURSIVE" + check(f"""WITH {_walk_sql()}, k AS ({_keys_sql()})
+        SELECT start, target, hops, array_to_string(path, '>') AS path,
+            CAST((SELECT coalesce(sum(repeated), 0) FROM k WHERE list_contains(path[2:], k.model)) AS BIGINT) AS repeated FROM walk""").strip()[4:]),
+    "metric_reached_filters": (reached_filters, "WITH RECURSIVE" + check(f"""WITH {_walk_sql()}, k AS ({_keys_sql()}),
+        d(model, dimension) AS (VALUES {", ".join(f"('{m.name}', '{m.primary}__{d}')" for m in MODELS.values() for d in m.dimensions)}),
+        f(metric, model, dimension) AS (VALUES {", ".join(f"('{m.name}', '{MEASURES[m.measure].model}', '{m.where[0]}')"
+                                                        for m in METRICS.values() if m.kind == 'simple' and m.where)})
+        SELECT metric, f.model, f.dimension, min(hops) AS hops, count(hops) > 0 AS reached, any_value(n) AS rows
+        FROM f JOIN k ON k.model = f.model LEFT JOIN (SELECT start, dimension, hops FROM walk JOIN d ON d.model = walk.target) r
+            ON r.start = f.model AND r.dimension = f.dimension GROUP BY 1, 2, 3""").strip()[4:]),
     "metric_model_keys": (model_keys, check(" UNION ALL ".join(
         f"SELECT '{m.name}' AS model, '{m.primary}' AS entity, count(*) AS repeated FROM "
         f"(SELECT {m.key} FROM {m.table} WHERE {m.key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from metricway.functions import where as W
 from metricway.operators import ann, embed, impact, search as S
-from metricway.session import shared_folder
+from metricway.session import shared_folder, written
 from registry.base import check, rounded, tables
 
 K = 10
@@ -179,6 +179,26 @@ def statement(spark, sf):
     return S.sample_statement(hits, store)
 
 
+def surveyed_statement(spark, sf):
+    """The same for hits among documents with a survey score of 4 or more: totals count only those."""
+    store = doc_store(spark, sf).select("doc_id", "category", "csat_score")
+    where = W.score_range(4, 5)
+    hits = text_hits(spark, sf, allowed=W.filtered(store, where)).join(store, "doc_id")
+    return S.sample_statement(hits, store, where=where)
+
+
+def cells_checked(spark, sf):
+    """What can be said for certain of an approximate search: full lists, true scores, and the recall that was asked for."""
+    corpus, queries = vectors(spark, sf), label_queries(spark, sf)
+    index = ann.CellIndex.build(corpus)
+    hits = written(index.search(queries, K, probes=max(1, len(index.centres) * 9 // 10)))
+    true = ann.refined(hits, corpus, queries, K).select("query_id", "doc_id", F.col("score").alias("true"), F.col("rank").alias("true_rank"))
+    same = hits.join(true, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("hits"), F.bool_and(F.coalesce((F.abs(F.col("score") - F.col("true")) < 1e-6), F.lit(False))).alias("true_scores"))
+    recall = ann.ann_recall(hits, S.nearest(corpus, queries, K), corpus.agg(F.count("*").alias("n")), K)
+    return same.join(recall, "query_id").select("query_id", "hits", "true_scores", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def hydrated(spark, sf):
     store = doc_store(spark, sf).withColumn("metadata", F.create_map(
         F.lit("category"), F.col("category"), F.lit("outcome"), F.col("outcome")))
@@ -245,6 +265,13 @@ QUERIES = {
         SELECT query_id, lang AS category, count(*) AS got, (SELECT count(*) FROM documents x WHERE x.lang = d.lang) AS total,
             CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, lang) AS INT) AS place
         FROM fts JOIN documents d USING (doc_id) GROUP BY query_id, lang"""),
+    "search_surveyed_statement": (surveyed_statement, f"""WITH {STORE_SQL}, {BM25_SQL},
+            {text_sql(keep="doc_id IN (SELECT doc_id FROM store WHERE csat_score BETWEEN 4 AND 5)")}
+        SELECT query_id, lang AS category, count(*) AS got, (SELECT count(*) FROM store x WHERE x.category = d.lang AND csat_score BETWEEN 4 AND 5) AS total,
+            CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, lang) AS INT) AS place
+        FROM fts JOIN documents d USING (doc_id) GROUP BY query_id, lang"""),
+    "search_cells_checked": (cells_checked, f"""WITH {LABEL_QUERIES_SQL}
+        SELECT query_id, least(10, (SELECT count(*) FROM embeddings)) AS hits, true AS true_scores, true AS recall_reached FROM q"""),
     "search_hydrated": (hydrated, f"""WITH {STORE_SQL}, {BM25_SQL}, {text_sql()}
         SELECT query_id, doc_id, rank, 'category=' || category || CASE WHEN csat_score IS NULL THEN '' ELSE ';csat_score=' || csat_score END
             || ';outcome=' || outcome AS metadata FROM fts JOIN store USING (doc_id)"""),

@@ -35,17 +35,6 @@ def test_percentile_with_one_value_in_a_third_of_all_rows(spark):
     assert list(E.percentiles(df, "v", [5, 50, 95]).first()) == pytest.approx(want)
 
 
-def test_sweeps():
-    assert E.sweep_grid(["nprobes=20,50", "refine_factor=1,20"]) == [
-        {"nprobes": 20, "refine_factor": 1}, {"nprobes": 20, "refine_factor": 20},
-        {"nprobes": 50, "refine_factor": 1}, {"nprobes": 50, "refine_factor": 20}]
-    cells, graph = E.split_sweep(E.sweep_grid(["nprobes=20,50", "ef_search=40,100"]))
-    assert cells == [{"nprobes": 20}, {"nprobes": 50}] and graph == [40, 100]
-    for bad in (["x=1"], ["nprobes="], ["nprobes=0"], ["nprobes=1", "nprobes=2"], ["nprobes=a"]):
-        with pytest.raises(ValueError):
-            E.sweep_grid(bad)
-
-
 def test_setups():
     with pytest.raises(ValueError):
         E.setup_warnings({"dataset": "golden"}, {"dataset": "holdout"})
