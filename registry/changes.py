@@ -469,7 +469,7 @@ QUERIES = {
         n AS (SELECT doc_id, trim(trim(regexp_replace(c, '\s+', ' ', 'g')), '"''“” ') AS c,
             trim(regexp_replace('agent AGT-17 said ' || text || ' of account 1234567890', '\s+', ' ', 'g')) AS t FROM q),
         k AS (SELECT doc_id, CASE WHEN length(c) BETWEEN 12 AND 300 AND NOT regexp_matches(c, '\b(?:AGT|MBR)-\d+\b')
-            AND NOT regexp_matches(c, '(^|[^0-9*A-Za-z-])[0-9]{6,}($|[^0-9])') AND contains(t, c) THEN c END AS c FROM n)
+            AND NOT regexp_matches(c, '(^|[^0-9$.,])(([0-9]{4}[ -])+|[0-9]+)[0-9]{4}($|[^0-9,.]|\\.($|[^0-9]))') AND contains(t, c) THEN c END AS c FROM n)
         SELECT doc_id, CAST(length(c) AS INT) AS chars, sha256(c) AS quote_sha256 FROM k""".replace("\\\\", "\\")),
     "change_coaching_patterns": (coaching, check("""
         WITH g AS (SELECT category || '/' || year(day) AS label, call_id, seconds % 7 AS number,
