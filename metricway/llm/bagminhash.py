@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +206,8 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similari
     wanted = members.select(F.col("id").alias("row")).distinct().join(nodes.select("row", "node_doc", *same), "row")
     texts = docs.select(F.col(id_col).cast("long").alias("node_doc"), F.col(text).alias("text")).select(
         "node_doc", *keys("text"), "text")
-    texts = written(texts.join(wanted, ["node_doc", *same]).select("row", "text").dropDuplicates(["row"]))
+    match = reduce(and_, (texts[c].eqNullSafe(wanted[c]) for c in ("node_doc", *same)))  # ids may be null
+    texts = written(texts.join(wanted, match).select("row", "text").dropDuplicates(["row"]))
     found = linked(members, texts, similarity)
     named = nodes.select(*same, F.col("row").alias("node")).join(found, "node", "left").select(
         *same, F.coalesce("component", "node").alias("component"))

@@ -129,7 +129,8 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     wanted = members.select("id").distinct().join(lines.select("id", "line_key", "line_check", "doc_id", "place"), "id")
     # Lines that share a band are read again: the texts of their documents are exchanged once, by id, with the places asked for.
     places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "line_key", "line_check", "id")).alias("asked"))
-    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(places, "doc_id")
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text).alias("text"))
+    again = texts.join(places, texts["own_id"].eqNullSafe(places["doc_id"]))
     # The lines of a text pass through an explode of their own: else the text would be split once for every place.
     again = again.select(F.explode(F.array(F.struct(F.split("text", "\\n", -1).alias("own"), "asked"))).alias("d"))
     again = again.select("d.own", F.explode("d.asked").alias("p"))
@@ -152,17 +153,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
 
     The documents are written once with their row numbers: those of another scan could differ, as its partitions can.
     """
-    number = "_row"
+    number, lost = "_row", "gone"
     while number in docs.columns:
         number += "_"
+    while lost in docs.columns:
+        lost += "_"
     rows = written(docs.withColumn(number, F.monotonically_increasing_id()))
     gone = (dropped(rows, id_col, text, similarity, number).groupBy(F.col("row").alias(number))
-            .agg(F.collect_set("place").alias("gone")))  # at most the lines of one document
+            .agg(F.collect_set("place").alias(lost)))  # at most the lines of one document
     kept = rows.join(gone, number, "left")
     rest = F.array_join(F.transform(F.filter(
         F.transform(F.split(text, "\\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda p: ~F.array_contains("gone", p["i"])), lambda p: p["x"]), "\n")
-    out = kept.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(rest)).drop("gone")
+        lambda p: ~F.array_contains(lost, p["i"])), lambda p: p["x"]), "\n")
+    out = kept.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(rest)).drop(lost)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))
     return out.select(*docs.columns)

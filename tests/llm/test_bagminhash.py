@@ -114,3 +114,13 @@ def test_components(spark, seed):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got.get(n, n) == c for n, c in label.items())
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_null_ids_and_very_long_texts_are_linked(spark):
+    """The same links with and without ids, also for texts of 60,000 words."""
+    words = [f"w{i * 7919 % 50021}" for i in range(60_000)]
+    base = " ".join(f"t{i}" for i in range(60))
+    rows = [(None, base), (None, base + " end"), (None, " ".join(words)), (None, " ".join([*words, "more"])), (3, "something else altogether in here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = sorted(r.class_size for r in bag.classes(df).collect())
+    assert sizes == [1, 2, 2, 2, 2] and bag.representatives(df).count() == 3

@@ -1,5 +1,7 @@
 """Fuzzy line dedup: rules for odd inputs; test_line_shingles.py has the brute force."""
 
+import hashlib
+
 import pytest
 
 pytest.importorskip("metricway.llm")
@@ -30,3 +32,13 @@ def test_a_band_with_several_groups_is_searched_through(spark):
     frame = spark.createDataFrame(list(sets.items()), "id long, shingles array<string>")
     found = {r.node: r.component for r in lines.linked(members, frame).collect()}
     assert found == {i: i % 40 for i in sets}
+
+
+def test_null_ids_long_texts_and_a_clashing_column(spark, folder):
+    """Documents without an id are documents like others; a text of many words; a column named as an inner one."""
+    long = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(2000)) + "\n" + "word " * 20_000
+    rows = [(None, "the same line in two documents here", "x"), (None, "the same line in two documents here!", "y"), (7, long, "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, gone string").coalesce(1).write.parquet(f"{folder}/docs")
+    out = {r.gone: r.text for r in lines.deduplicated(spark.read.parquet(f"{folder}/docs")).collect()}
+    assert sorted(map(len, (out["x"], out["y"]))) in ([0, 35], [0, 36]) and set(out) == {"x", "y", "z"}
+    assert out["z"] and set(out["z"].split("\n")) <= set(long.split("\n"))
