@@ -2,7 +2,7 @@
 
 Documents are dealt to blocks by a hash of their id. A row of the index is one word in one block: the documents that say it with their
 impacts (the part of BM25 that does not depend on the query, made with the corpus totals when the index is built) and the largest of
-them. A search brings the rows of its words together by block, a third at most of what a row for each word and document would take;
+them. A search brings the rows of its words together by block, and
 a task adds up a block's scores as one small matrix and keeps k rows a query. What a query could reach in a block at most is the sum of
 its words' largest impacts: where there are more than `direct` blocks, the best FIRST blocks of each query are scored first, and of
 the others only those that can reach its k-th score. Totals and document frequencies are stored, so no search counts the corpus.
