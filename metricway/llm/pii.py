@@ -179,7 +179,7 @@ def learned(edges: DataFrame) -> DataFrame:
     counts = written(edges.groupBy("key").agg(
         *(F.count_if(F.coalesce(F.col("kind") == k, F.lit(False))).alias(k) for k in KINDS),
         F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("unknown")))
-    found = edges.sparkSession.createDataFrame([], "string string, kind string, score double")
+    found = unknown.filter(F.lit(False)).select("string", F.lit("").alias("kind"), F.lit(0.0).alias("score"))  # nothing yet
     before = None
     for _ in range(ROUNDS):
         weights = unknown.join(found, "string").groupBy("key").agg(
