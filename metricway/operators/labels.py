@@ -103,7 +103,8 @@ def most_spoken(spoken: DataFrame, places: int) -> DataFrame:
 
 def repeated_endings(accounts: DataFrame, column: str) -> DataFrame:
     """Last-four digits shared by more than one account: "ending in NNNN" would be ambiguous."""
-    last4 = F.right(F.lpad(F.col(column).cast("string"), 4, "0"), F.lit(4))
+    shown = F.col(column).cast("string")
+    last4 = F.right(F.lpad(shown, F.greatest(F.lit(4), F.length(shown)), "0"), F.lit(4))  # lpad cuts what is longer
     return accounts.select(column).distinct().groupBy(last4.alias("last4")).agg(F.count("*").alias("n")).filter("n > 1")
 
 

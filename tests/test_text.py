@@ -66,3 +66,9 @@ def test_redaction_leaves_no_part(spark):
     row = spark.createDataFrame([("x /home/ann/y abcd.host:99 abcd.host",)], "t string")
     assert row.select(T.redact_values(T.redact_home(F.col("t")), ["abcd.host", "abcd.host:99"])).first()[0] == \
         "x ~/y <redacted> <redacted>"
+
+
+def test_endings_of_long_numbers(spark):
+    accounts = spark.createDataFrame([(123450001,), (987650001,), (123460002,), (7,), (50007,)], "account_id long")
+    got = {tuple(r) for r in L.repeated_endings(accounts, "account_id").collect()}
+    assert got == {("0001", 2), ("0007", 2)}
