@@ -12,6 +12,7 @@ CALL_ID = r"CALL-\d{5}"
 CALL_ID_ANY_CASE = r"(?i)\bcall-\d{5}\b"
 STAFF_OR_MEMBER = r"\b(?:AGT|MBR)-\d+\b"
 HOME_PATH = r"/(?:home|Users)/[^/\s'\"`]+/"
+CALL_LINE = "Call ID"
 TURN = r"(?:^|(?<=\s))(MEMBER|AGENT):"
 TOOL_FAILURE = (r"TOOL ERROR \(|query_metric error:"
                 r"|is already defined for this MetaData instance")
@@ -70,13 +71,17 @@ def transcripts(turns: DataFrame, call: str = "conv_id", order: str = "turn",
 
 
 def transcript_view(header: dict[str, Column], seconds: Column, text: Column) -> Column:
-    """Header lines, the length as m:ss ("unknown" without one), and the masked dialogue."""
+    """Header lines, the length as m:ss ("unknown" without one), and the dialogue, all masked.
+
+    The call's own id and its length are no account numbers, however many digits they have: they stay.
+    """
     length = F.coalesce(F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"),
                                  F.lpad((seconds % 60).cast("string"), 2, "0")), F.lit("unknown"))
     names = list(header)
     lines = [F.concat(F.lit(f"{n}: "), F.coalesce(header[n].cast("string"), F.lit("None"))) for n in names]
+    lines = [line if n == CALL_LINE else mask_accounts(line) for n, line in zip(names, lines)]
     lines.insert(2, F.concat(F.lit("Duration: "), length, F.lit(" (minutes:seconds)")))
-    return mask_accounts(F.concat(F.concat_ws("\n", *lines), F.lit("\n\nTRANSCRIPT:\n"), text))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n\nTRANSCRIPT:\n"), mask_accounts(text))
 
 
 def citation_context(df: DataFrame, turns: str, quote: str, key: str, around: int = 1) -> DataFrame:

@@ -72,3 +72,11 @@ def test_endings_of_long_numbers(spark):
     accounts = spark.createDataFrame([(123450001,), (987650001,), (123460002,), (7,), (50007,)], "account_id long")
     got = {tuple(r) for r in L.repeated_endings(accounts, "account_id").collect()}
     assert got == {("0001", 2), ("0007", 2)}
+
+
+def test_view_keeps_a_long_call_id_and_length(spark):
+    rows = spark.createDataFrame([(1234567890, "MEMBER: card 1234567890")], "id long, t string")
+    view = T.transcript_view({"Call ID": F.col("id"), "Date": F.lit("2026-01-05"), "Agent": F.lit("account 1234567890")},
+                             F.lit(12345 * 60), F.col("t"))
+    assert rows.select(view).first()[0] == ("Call ID: 1234567890\nDate: 2026-01-05\nDuration: 12345:00 (minutes:seconds)\n"
+                                            "Agent: account ****7890\n\nTRANSCRIPT:\nMEMBER: card ****7890")
