@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -89,3 +90,15 @@ def test_shares_cover_the_unit(spark):
     rows = spark.range(20000).select(A.hash_bucket(F.col("id").cast("string"), shares).alias("b")).groupBy("b").count().collect()
     assert {r.b for r in rows} == set(shares)
     assert all(abs(r["count"] / 20000 - shares[r.b]) < 0.02 for r in rows)
+
+
+def test_fingerprint_folds_the_counted_rows_in_order(spark):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    rows = [(f"C{i % 900}", "train") for i in range(1000)]
+    counted = sorted(Counter(sha(f"{a}\x01{b}") for a, b in rows).items())
+    folds = {n: sha("".join(f"{h}x{m}" for h, m in counted if h[:4] == n)) for n in sorted({h[:4] for h, _ in counted})}
+    halves = [sha("".join(h for n, h in folds.items() if n[:2] == p)) for p in sorted({n[:2] for n in folds})]
+    got = T.content_fingerprint(spark.createDataFrame(rows, "call_id string, split string"), "call_id", "split").first()[0]
+    assert got == sha("".join(halves))
