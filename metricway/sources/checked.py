@@ -90,9 +90,10 @@ def read_json_array(spark: SparkSession, path: str, table: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.trim("value").alias("value"))
     bare = F.regexp_replace("value", r",$", "")
-    tries = [bare, F.concat(F.lit("["), bare, F.lit("]")), F.concat(bare, F.lit("]")), F.concat(F.lit("["), bare)]
-    parsed = [F.try_parse_json(t) for t in tries]
-    items = F.coalesce(*(F.when(kind_of(p) == "array", p) for p in parsed))
+    # What begins with a bracket and parses is an array, so each text is parsed once.
+    opens = bare.rlike(r"^\s*\[")
+    items = F.coalesce(F.when(opens, F.try_parse_json(bare)), F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))),
+                       F.when(opens, F.try_parse_json(F.concat(bare, F.lit("]")))), F.try_parse_json(F.concat(F.lit("["), bare)))
     rows = lines.filter(~F.col("value").isin("", "[", "]", ",", "[]")).select(items.alias("items"))
     names = list(schemas.declared(table))
     if rows.filter("items IS NULL").isEmpty():

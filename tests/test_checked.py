@@ -78,3 +78,24 @@ def test_records_are_typed_and_never_written_over(spark, folder):
     assert [r.errors for r in told] == [["date is no text"], ["no number: a"], ["missing area"], ["no JSON object"]]
     with pytest.raises(ValueError):
         checked.write_record(one.limit(0), folder)
+
+
+def test_lines_of_an_array_are_parsed_once_for_each_form(spark, folder):
+    lines = ["[", '{"interaction_id": 1, "category_code": "[a]"},', '[{"interaction_id": 2},', '{"interaction_id": 3}]', '[{"interaction_id": 4}],', "]"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/a")
+    rows = checked.read_json_array(spark, f"{folder}/a", "interaction")
+    assert sorted(r.interaction_id for r in rows.collect()) == [1, 2, 3, 4]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("json(") <= 4 + 2  # the four forms; out and in again
+
+
+@pytest.mark.parametrize("query", ["json_array", "query_file"])
+def test_files_are_written_in_as_many_parts_as_there_are_tasks(spark, sf, query):
+    from registry import ingestion
+
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList
+    before = ran().size()
+    getattr(ingestion, query)(spark, sf)
+    executions = ran()
+    plans = [executions.apply(i).physicalPlanDescription() for i in range(before, executions.size())]
+    laid = [p for p in plans if "InsertIntoHadoopFs" in p and "Text" in p]
+    assert laid and not any("rangepartitioning" in p for p in laid)
