@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_ROWS = 500_000
+DEALT_ROWS = 50_000
 
 
 def local_session(cpus: str | int = "*", app: str = "metricway", **conf: str) -> SparkSession:
@@ -56,6 +57,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, key: str, rows: int = DEALT_ROWS) -> DataFrame:
+    """The rows by key over as many partitions as hold about `rows` each: what a task holds does not grow with the table.
+
+    For a source that is cheap to count. Grouping and joining by the key afterwards needs no other shuffle.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), key)
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A side to broadcast if it is counted to be small; else as it is, for a shuffled join.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metricway.operators import assign as A
 from metricway.operators import training as T
+from metricway.session import dealt
 from registry.base import check, plain, rounded, tables
 from registry.changes import calls_of
 from registry.searches import doc_store
@@ -35,7 +36,8 @@ def calls(spark, sf):
 
 
 def turns(spark, sf):
-    c = calls(spark, sf)
+    """The turns of each call, all in one partition: what follows by call is not shuffled."""
+    c = dealt(calls(spark, sf), "call_id")
     k = F.col("k")
 
     def turn(speaker, text):
@@ -77,7 +79,7 @@ _CALLS = """c AS (SELECT 'CALL-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') A
 
 
 def gold(spark, sf):
-    c = calls(spark, sf)
+    c = dealt(calls(spark, sf), "call_id")
     text = turns(spark, sf).groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("turn", "speaker", "text"))), lambda t: F.concat(t["speaker"], F.lit(": "), t["text"])), " ").alias("text"))
     return T.gold_labels(c.join(facts(spark, sf).select("call_id", "facts"), "call_id").join(text, "call_id"))

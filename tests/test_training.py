@@ -102,3 +102,15 @@ def test_fingerprint_folds_the_counted_rows_in_order(spark):
     halves = [sha("".join(h for n, h in folds.items() if n[:2] == p)) for p in sorted({n[:2] for n in folds})]
     got = T.content_fingerprint(spark.createDataFrame(rows, "call_id string, split string"), "call_id", "split").first()[0]
     assert got == sha("".join(halves))
+
+
+def test_calls_are_dealt_by_their_number_and_labels_join_them_where_they_lie(spark):
+    from metricway.session import dealt
+
+    texts = dealt(spark.range(1000).select(F.concat(F.lit("C"), "id").alias("call_id"), F.lit("said").alias("text")), "call_id", rows=20)
+    assert texts.rdd.getNumPartitions() == 50
+    label = F.lit(None).cast("struct<reason_for_call:string,product_line:string,metric_mentioned:array<struct<name:string,value:string>>,"
+                             "resolution:string,follow_up:struct<needed:boolean,action:string>>")
+    labels = texts.select("call_id", F.lit(0).alias("seq"), label.alias("label"), F.sha2("text", 256).alias("text_sha256"))
+    plan = T.kept_labels(labels, texts)._jdf.queryExecution().executedPlan().toString()
+    assert "text_sha256" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
