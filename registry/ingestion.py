@@ -265,15 +265,16 @@ def bucketed(spark, sf):
     batch = docs.join(toxic, "doc_id").withColumn("text", F.lit("[removed]")).withColumn("seq", F.lit(2))
     S.ingest_buckets(where, batch, "doc_id", "seq", buckets)
     after = written(S.bucket_files(spark, where))
-    first = written(spark.read.parquet(where))
-    S.ingest_buckets(where, batch.unionByName(docs.filter("doc_id % 3 = 0")), "doc_id", "seq", buckets)
     row = F.xxhash64("doc_id", "text", "seq", F.to_json("metadata")).cast("decimal(38,0)")
+    first = written(spark.read.parquet(where).groupBy("bucket").agg(
+        F.sum(row).alias("a"), F.count("*").alias("rows"), F.count_if(F.col("text") == "[removed]").alias("removed"),
+        F.count(F.col("metadata")["lang"]).alias("with_lang")))  # a row for each bucket, before the batch comes again
+    S.ingest_buckets(where, batch.unionByName(docs.filter("doc_id % 3 = 0")), "doc_id", "seq", buckets)
     def content(df, name):
         return df.groupBy("bucket").agg(F.sum(row).alias(name))
-    again = content(first, "a").join(content(spark.read.parquet(where), "b"), "bucket").select("bucket", (F.col("a") == F.col("b")).alias("same"))
+    again = first.select("bucket", "a").join(content(spark.read.parquet(where), "b"), "bucket").select("bucket", (F.col("a") == F.col("b")).alias("same"))
     files_ = before.join(after.withColumnRenamed("files", "now"), "bucket").select("bucket", (F.col("files") != F.col("now")).alias("rewritten"))
-    counts = first.groupBy("bucket").agg(F.count("*").alias("rows"), F.count_if(F.col("text") == "[removed]").alias("removed"),
-                                         F.count(F.col("metadata")["lang"]).alias("with_lang"))
+    counts = first.drop("a")
     return counts.join(files_, "bucket").join(again, "bucket")
 
 
