@@ -163,8 +163,8 @@ def keys(text: str) -> list[Column]:
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """The members of all bands that two texts share."""
-    return linking.buckets(written(nodes.select(F.col("row").alias("id"), F.col("weight").alias("size"),
-                                                F.explode("bands").alias("key"))))
+    return linking.buckets(nodes.select(F.col("row").alias("id"), F.explode("bands").alias("key")),
+                           nodes.select(F.col("row").alias("id"), F.col("weight").alias("size")))
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

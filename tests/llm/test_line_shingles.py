@@ -86,3 +86,15 @@ def test_another_split_of_the_scan_changes_nothing(spark, folder):
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+
+
+def test_a_band_is_forty_bits_and_the_occurrences_carry_none(spark):
+    """Up to FEW shingles each have a band; a longer line has one a range; keys do not travel with every occurrence."""
+    short, long = "abcdefghijklmnop", "".join(chr(97 + i * i % 26) + str(i) for i in range(200))
+    df = spark.createDataFrame([(1, f"{short}\n{long}\nab"), (2, long)], "doc_id long, text string")
+    occurrences, rows = lines.signed(df)
+    assert occurrences.columns == ["doc_id", "row", "place", "line_key", "line_check"] and occurrences.count() == 4
+    found = {r.n: (r.low, r.high) for r in rows.collect()}
+    assert set(found) == {1, len(every(short)), len(every(long))}
+    assert all(len(low) == len(high) == (n if n <= lines.FEW else len(low)) <= lines.FEW for n, (low, high) in found.items())
+    assert len(found[len(every(long))][0]) <= 1 << lines.RANGE_BITS
